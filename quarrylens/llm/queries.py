@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, packing, quality_model, quality_rules
 from .common import table
 
+#: Folder of the public tokenizers' files on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.ledger(table(spark, sf_dir, "documents"))
@@ -17,6 +25,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", decode_too=True)
+    return found.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_quality_rules": op2_quality_rules,
+    "op6_bpe": op6_bpe,
+    "op7_packing": op7_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
