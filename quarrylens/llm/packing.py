@@ -84,6 +84,9 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
         for c, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             cache[c] = np.array(e.ids, "<u4").tobytes()
         out.append(b"".join([cache[c] for c in chunks]))
+        for c in missing:
+            if len(c) > 64:
+                del cache[c]
     return out
 
 
@@ -190,7 +193,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         placed = first_fit(group["length"].tolist(), capacity)
         return group.assign(sequence_id=[b for b, _ in placed], offset=[o for _, o in placed])
 
-    rest = rest.groupBy(F.lit(0)).applyInPandas(repack, schema)
+    rest = rest.groupBy(F.lit("rest").alias("all")).applyInPandas(repack, schema)
     return alone.unionByName(shared).unionByName(rest).drop("k", "at", "bin", "short")
 
 
