@@ -17,9 +17,11 @@ Defined cases: a null or empty text is the end id alone; repeated rows are packe
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import staged
 
 CAPACITY = 1024
@@ -37,14 +40,13 @@ FILL = 0.97
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 341, 512, 1024)
 _BIN_BITS = 44  # a sequence id is its class above this bit and its bin below; repacked bins are class 0
 
-_CACHE_ENTRIES = 300_000
-_SPACES = re.compile(r"\s ")
-_BREAKS = re.compile(r"(?<=\S)(?= )")
+#: Scripts in which all versions of Unicode agree on what is a letter, a number or white space.
+_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
 _state: dict[str, tuple] = {}
 
 
-def _encoder(path: str) -> tuple:
-    """The tokenizer of this worker and its cache: chunk of text to ids as little-endian bytes."""
+def _encoders(path: str) -> tuple:
+    """Of one tokenizer file, in this worker: the tokenizer, the same vocabulary as ranks (or None), and a search for its special strings."""
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,41 +54,45 @@ def _encoder(path: str) -> tuple:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _state[path] = (tokenizer, {})
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = [t["content"] for t in spec["added_tokens"]]
+        _state[path] = (tokenizer, _ranked(spec, set(special)), re.compile("|".join(map(re.escape, special)) or "(?!)").search)
     return _state[path]
 
 
-def chunks_of(text: str) -> list[str]:
-    """Parts that byte-level BPE encodes independently: the text cut before each space that follows other than white space."""
-    if _SPACES.search(text):
-        return _BREAKS.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first or not rest else [" " + x for x in rest]
+def _ranked(spec: dict, special: set[str]):
+    """An encoder over ranks for a plain byte-level BPE whose ids follow the order of its merges; else None."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+    made = [model["vocab"].get("".join(m), -1) for m in merges]
+    plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    plain = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or sorted(made) != made or len(set(made)) != len(made):
+        return None
+    import tiktoken
+
+    byte_of = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
+    ranks = {b"".join(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
-    tokenizer, cache = _encoder(path)
+    """Ids of each text as little-endian unsigned 32-bit integers, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+
+    Texts of Latin script without special strings go through the vocabulary's ranks, which is twice as
+    fast and gives the same ids; all others go through the tokenizer itself.
+    """
+    tokenizer, ranked, special = _encoders(path)
     out = []
     for text in texts:
         if not text:
             out.append(b"")
-            continue
-        chunks = chunks_of(text)
-        try:
-            out.append(b"".join([cache[c] for c in chunks]))
-            continue
-        except KeyError:
-            pass
-        if len(cache) > _CACHE_ENTRIES:
-            cache.clear()
-        missing = list({c for c in chunks if c not in cache})
-        for c, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-        out.append(b"".join([cache[c] for c in chunks]))
-        for c in missing:
-            if len(c) > 64:
-                del cache[c]
+        elif ranked is not None and _PLAIN(text) and not special(text):
+            out.append(array("I", ranked.encode_ordinary(text)).tobytes())
+        else:
+            out.append(array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
     return out
 
 
@@ -131,7 +137,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, ranks, part = cutter(capacity, fill, classes), dict.fromkeys(classes, 0), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             ids_in = batch.column(0)
             rows: list[tuple] = []
             owners: list[int] = []
