@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_ENTRIES = 200_000
+_CACHE_ENTRIES = 500_000  # about 100 MB a worker for each of two caches
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u017f]+").fullmatch
 _END_BASE = 0xF0000  # private-use code points stand for a word's last symbol
 _codecs: dict[str, Codec] = {}
 
@@ -80,8 +82,8 @@ class Codec:
                 if i in self.made or len(symbols) == 1:
                     self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
-        self.plain = [chr(b) for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.by_word: dict[str, bytes] = {}
 
     def _symbols(self, token: str, byte_of: dict[str, int]) -> str:
         """A token with one character for each byte, the last one of a word in the private range."""
@@ -129,12 +131,23 @@ class Codec:
             symbols = symbols[:-1] + chr(_END_BASE + raw[-1])
         last: list[int] = [-1] * (n + 1)  # the last token of each prefix, -1: no tokens lead here
         back = [0] * (n + 1)
-        compatible = self.compatible
-        for end, (token, size) in self.automaton.iter(symbols):
-            end += 1
-            start = end - size
-            if last[end] < 0 and (start == 0 or last[start] >= 0 and compatible(last[start], token)):
-                last[end], back[end] = token, start
+        known, compatible = self.known, self.compatible
+        done = -1
+        for at, (token, size) in self.automaton.iter(symbols):
+            if at == done:
+                continue
+            start = at + 1 - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known.get((before, token))
+                if fits is None:
+                    fits = compatible(before, token)
+                if not fits:
+                    continue
+            done = at
+            last[at + 1], back[at + 1] = token, start
         out = []
         at = n
         while at:
@@ -142,9 +155,26 @@ class Codec:
             at = back[at]
         return out[::-1]
 
+    def word_bytes(self, word: str) -> bytes:
+        """The ids of one word as bytes, memoised: chunks differ in punctuation and case more than in words."""
+        found = self.by_word.get(word)
+        if found is None:
+            found = array("I", self.word_ids(word)).tobytes()
+            if len(word) <= 32:
+                if len(self.by_word) >= _CACHE_ENTRIES:
+                    self.by_word.clear()
+                self.by_word[word] = found
+        return found
+
     def chunk_ids(self, chunk: str) -> bytes:
         """Ids of a text without white space at which words could meet, as little-endian unsigned 32-bit integers."""
         out: list[int] = []
+        if _PLAIN(chunk):  # composed already, and lower-cased alike by all libraries
+            lower = chunk.lower()
+            if lower.isalpha():
+                return self.word_bytes(lower)
+            if "<|" not in chunk:
+                return b"".join([self.word_bytes(w) for w in self.words(lower)])
         for part in self.split_special(chunk) if self.split_special else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
