@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality_model, quality_rules, substrings
+from . import bpe, minhash, packing, pii, quality_model, quality_rules, substrings
 from .common import table
 
 #: Folder of the public tokenizers' files on every machine.
@@ -50,12 +50,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_removed_words", spans.alias("removed_spans"), "first_in")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_columns(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
+    "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
