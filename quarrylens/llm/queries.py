@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, pii, quality_model, quality_rules, substrings
+from . import bpe, hnsw, minhash, packing, pii, quality_model, quality_rules, substrings
 from .common import table
 
 #: Folder of the public tokenizers' files on every machine.
@@ -54,9 +54,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_columns(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), every=100)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ann": op3_ann,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
