@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, minhash, packing, pii, quality_model, quality_rules, substrings
+from . import bpe, hnsw, html_text, minhash, packing, pii, quality_model, quality_rules, substrings
 from .common import table
 
 #: Folder of the public tokenizers' files on every machine.
@@ -58,10 +58,16 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), every=100)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op3_ann": op3_ann,
+    "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
