@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, html_text, minhash, packing, pii, quality_model, quality_rules, substrings
+from . import bpe, hnsw, html_text, minhash, packing, pii, quality_model, quality_rules, substrings, warc
 from .common import table
 
 #: Folder of the public tokenizers' files on every machine.
@@ -63,10 +63,15 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op3_ann": op3_ann,
+    "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
