@@ -48,7 +48,8 @@ _powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
+    """A bijective scrambling of 64-bit values (an array's products wrap around silently)."""
+    x = np.atleast_1d(x)
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     return x ^ (x >> _U(32))
@@ -159,7 +160,7 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band."""
     out = np.empty((len(minima), bands), np.int64)
     for band in range(bands):
-        total = np.full(len(minima), _U(band + 1) * _STEP[63], _U)
+        total = np.full(len(minima), band + 1, _U) * _STEP[63]
         for r in range(rows):
             total = mix(total + minima[:, band * rows + r].astype(_U)) * _STEP[r]
         out[:, band] = total.view(np.int64)
@@ -198,7 +199,7 @@ def _sketch(docs: DataFrame, bands: int, rows: int, b: int, width: int) -> DataF
                 n = [len(s) for s in sets]
                 minima = signatures(sets, bands * rows)
                 keys, planes = band_keys(minima, bands, rows), pack_bits(minima, b)
-                node = np.array([int(mix(np.bitwise_xor.reduce(mix(s)) + s.sum(dtype=_U) + _U(len(s))).view(np.int64)) if len(s) else 0 for s in sets], np.int64)
+                node = np.array([int(mix(np.atleast_1d(np.bitwise_xor.reduce(mix(s))) + s.sum(dtype=_U) + _U(len(s))).view(np.int64)[0]) if len(s) else 0 for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel())), pa.array([p.tobytes() for p in planes], pa.binary())],
                     names=["id", "n", "node", "keys", "sig"],

@@ -121,7 +121,7 @@ def _tree(x: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, rows: np.
     return nodes, fitted
 
 
-def grow_rules(x: np.ndarray, y: np.ndarray, names: list[str], n_trees: int = 40, depth: int = 3, rate: float = 0.2, seed: int = 7) -> list[Rule]:
+def grow_rules(x: np.ndarray, y: np.ndarray, names: list[str], n_trees: int = 24, depth: int = 3, rate: float = 0.2, seed: int = 7) -> list[Rule]:
     """Boost trees on half samples of the rows and a random part of the statistics, and take the paths to all their nodes as rules."""
     rng = np.random.default_rng(seed)
     cuts = []
@@ -166,7 +166,7 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 60
     return b, w
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 5e-4) -> RuleModel:
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 5e-3) -> RuleModel:
     """Fit on statistics ``x`` (rows by names) and labels ``y`` (0 or 1)."""
     if not len(y):
         return RuleModel()
