@@ -165,10 +165,17 @@ def style_features(root: Node) -> Iterator[tuple[int, int]]:
         if node.dropped:
             continue
         shape, own = [], []
-        for child in node.children:
+        inner = list(reversed(node.children))
+        while inner:
+            child = inner.pop()
             if isinstance(child, str):
                 if bare := squeeze(child):
                     own.append(bare)
+            elif child.dropped:
+                continue
+            elif child.tag in INLINE:  # part of the line it stands in, never a branch of its own
+                child.key = node.key
+                inner.extend(reversed(child.children))
             else:
                 # a run of equal children is one presentation, however long
                 label = child.tag + child.names
@@ -202,7 +209,7 @@ def page_text(root: Node, unimportant: set[int]) -> str:
             end()
         elif isinstance(item, str):
             line.append(item)
-        elif not item.dropped and (item.safe or item.key not in unimportant):
+        elif not item.dropped and (item.safe or item.tag in INLINE or item.key not in unimportant):
             if item.tag not in INLINE:
                 end()
                 stack.append(None)

@@ -80,4 +80,21 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULE_BITS = " + ".join(f"CASE WHEN {r.predicate} THEN {1 << r.bit} ELSE 0 END" for r in quality_rules.RULES)
+
+#: SQL for the queries that SQL can express; tests hold the others against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+ g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+ h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+ c AS (SELECT r, count(DISTINCT i + k) AS n FROM h, range(3) t(k) GROUP BY r),
+ m AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+  len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_bang_words, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND strlen(x) > 1)) AS n_upper_words,
+  len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_adjacent_repeats, len(list_filter(ws, lambda x: regexp_full_match(x, '[#*$%&|<>]+'))) AS n_bare_symbol_words FROM w LEFT JOIN c ON c.r = w.r)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits
+ FROM (SELECT *, """
+    + _RULE_BITS
+    + " AS bits FROM m)",
+}
