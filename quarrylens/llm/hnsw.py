@@ -232,6 +232,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEAR
     tasks = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     shards = indexed.select(F.col("shard").alias("q_shard"), F.col("dim").alias("q_dim"))
     left = q.join(shards, F.col("dim") == F.col("q_dim")).select("q_shard", "q_dim", F.col("block").alias("q_block"), "id", "vector")
+    left = left.repartition("q_shard", "q_dim", "q_block")  # not by dimension alone, which is one key
     out = "query_id bigint, qrow string, vec_id bigint, score double"
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

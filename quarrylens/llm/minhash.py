@@ -355,7 +355,8 @@ def near_duplicates(
 
     # small blocks are dealt out together, large ones part by part, each part with the hub
     is_hub = F.col("node") == F.col("hub")
-    small = sets.where("parts = 1").withColumn("k1", F.pmod(F.xxhash64("block"), F.lit(4096)).cast("long")).withColumn("k2", F.lit(-1))
+    n_groups = max(64, member.count() // part_size)
+    small = sets.where("parts = 1").withColumn("k1", F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("long")).withColumn("k2", F.lit(-1))
     large = sets.where("parts > 1")
     own = large.where(~is_hub).withColumn("k1", F.col("block")).withColumn("k2", F.col("part"))
     hubs = large.where(is_hub).withColumn("k1", F.col("block")).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -400,7 +401,8 @@ def near_duplicates(
         found = link_block(*_nodes(group, b), n_hashes, b, threshold, group["root"].tolist(), left)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["node", "root"])
 
-    crossing = rest.unionByName(every).groupBy("block", "k2", "k3").applyInPandas(across, "node bigint, root bigint")
+    # the rows come partitioned by block, which would keep all cells of a large one in a single task
+    crossing = rest.unionByName(every).repartition("block", "k2", "k3").groupBy("block", "k2", "k3").applyInPandas(across, "node bigint, root bigint")
     classes = components(edges.unionByName(crossing), "classes")
 
     named = usable.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
