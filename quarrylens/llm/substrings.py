@@ -6,7 +6,7 @@ digest is taken over its words.  Every distinct digest belongs to the smallest `
 later documents lose the runs of chunks they share if a run has ``min_words`` words or more.  Inside one
 document the first occurrence stays.
 
-Chunks end after one word in six, so a shared passage of 51 words loses about a dozen words at its two ends
+Chunks end after one word in five, so a shared passage of 51 words loses about ten words at its two ends
 to chunks that reach over them; a run of 20 words is enough to recognise it, and lines or phrases of fewer
 words never form one.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .minhash import _SEGMENT, _SPACE, _power_tables, mix
 
 MIN_WORDS = 20
-MEAN_WORDS = 6
+MEAN_WORDS = 5
 MAX_WORDS = 64
 _U = np.uint64
 _WINDOW = 16
