@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A run of one script and case pattern: acronym before a capitalised word, capitalised or lower word, digits.
+_CYRILLIC = r"Ѐ-ԯ"
+_SCRIPTS = (rf"&&[{_CYRILLIC}]", rf"&&[^{_CYRILLIC}]")
+#: By script: an acronym before a capitalised word, a capitalised or lower word, capitals; then digits.
 _WORD = (
-    r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[А-ЯЁ]+(?=[А-ЯЁ][а-яё])"
-    r"|[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+|[0-9]+"
+    "|".join(rf"[\p{{Lu}}{s}]+(?=[\p{{Lu}}{s}][\p{{Ll}}{s}])|[\p{{Lu}}{s}]?[\p{{L}}{s}&&[^\p{{Lu}}]]+|[\p{{Lu}}{s}]+" for s in _SCRIPTS)
+    + r"|\p{N}+"
 )
 
 

@@ -37,7 +37,7 @@ RISKS = {1: "CRITICAL", 2: "HIGH", 3: "MEDIUM"}
 
 
 def risk_of(hop):
-    return F.when(hop <= 1, RISKS[1]).when(hop == 2, RISKS[2]).when(hop == 3, RISKS[3]).otherwise("LOW")
+    return F.when(hop == 1, RISKS[1]).when(hop == 2, RISKS[2]).when(hop == 3, RISKS[3]).otherwise("LOW")
 
 
 def risk_summary(reached: DataFrame) -> DataFrame:

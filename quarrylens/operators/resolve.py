@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 CLASSES = ("local", "common_module", "object_manager", "platform_var", "platform_global", "unknown")
 UNRESOLVABLE = ("platform_var", "platform_global")
-#: Roots through which object managers are reached (fixed values).
-MANAGER_ROOTS = ("catalogs", "documents", "enums", "reports", "dataprocessors", "informationregisters", "accumulationregisters", "accountingregisters", "calculationregisters", "chartsofaccounts", "chartsofcharacteristictypes", "chartsofcalculationtypes", "exchangeplans", "businessprocesses", "tasks", "constants", "documentjournals", "filtercriteria")
+#: Collections of managers at the head of a call (fixed values).
+MANAGER_ROOTS = (
+    "справочники", "документы", "регистрысведений", "регистрынакопления", "регистрыбухгалтерии", "регистрырасчета", "обработки", "отчеты", "планывидовхарактеристик",
+    "планысчетов", "планывидоврасчета", "перечисления", "бизнеспроцессы", "задачи", "планыобмена", "константы", "последовательности", "журналыдокументов",
+)
 
 
 def method_key(module, name):
     return F.concat(module, F.lit("::"), F.lower(name))
 
 
-def resolve(calls: DataFrame, methods: DataFrame, modules: DataFrame) -> DataFrame:
+def resolve(calls: DataFrame, methods: DataFrame, modules: DataFrame, manager_roots: tuple[str, ...] = MANAGER_ROOTS) -> DataFrame:
     """``calls`` (caller_module, callee_name, ...) with resolution, callee_key and confidence.
 
     ``methods``: (module, name, is_export); ``modules``: (module, common_name: null unless a common module).
@@ -35,7 +38,7 @@ def resolve(calls: DataFrame, methods: DataFrame, modules: DataFrame) -> DataFra
     )
     plain = F.col("__dot") == 0
     found = F.when(plain & F.col("__own"), "local").when(plain & F.col("__any").isNull(), "platform_global").when(plain, "unknown")
-    found = found.when(F.col("__cm").isNotNull(), "common_module").when(F.col("__head").isin(*MANAGER_ROOTS), "object_manager").otherwise("platform_var")
+    found = found.when(F.col("__cm").isNotNull(), "common_module").when(F.col("__head").isin(*manager_roots), "object_manager").otherwise("platform_var")
     key = F.when(plain & F.col("__own"), method_key(F.col("caller_module"), F.col("__tail"))).when(~plain & F.col("__ex").isNotNull(), method_key(F.col("__cm"), F.col("__tail")))
     confidence = F.when(plain & F.col("__own"), 1.0).when(~plain & (F.col("__ex") == 1), 1.0).when(~plain & F.col("__ex").isNotNull(), 0.6).otherwise(0.0)
     return joined.select(*calls.columns, found.alias("resolution"), key.alias("callee_key"), confidence.alias("confidence"))

@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 
 DIM = 1024
 NONZERO = 8
-_OFFSET, _PRIME = 0xCBF29CE484222325, 0x100000001B3  # FNV-1a, 64 bits
+#: FNV-1a of 64 bits and the step between seeds (fixed values: stored vectors depend on them).
+FNV_OFFSET = 0xCBF29CE484222325
+FNV_PRIME = 0x100000001B3
+SEED_STEP = 0x9E3779B97F4A7C15
+_WRAP = (1 << 64) - 1
 
 
-def fnv1a(raw: bytes, seed: int = 0) -> int:
-    h = (_OFFSET ^ seed) & 0xFFFFFFFFFFFFFFFF
+def fnv1a(raw: bytes, start: int = FNV_OFFSET) -> int:
     for b in raw:
-        h = ((h ^ b) * _PRIME) & 0xFFFFFFFFFFFFFFFF
-    return h
+        start = (start ^ b) * FNV_PRIME & _WRAP
+    return start
 
 
 def random_index(token: str, dim: int = DIM, nonzero: int = NONZERO) -> np.ndarray:
-    """A sparse ternary vector fixed by the token: each of a few seeded hashes gives a place and, by its top bit, a sign."""
-    out = np.zeros(dim, np.float64)
+    """A sparse vector fixed by the token: each of a few seeded hashes gives a place and, by its top bit, a sign.
+
+    The seeds depend on the whole token and its length; signs that meet in one place add up.
+    """
     raw = token.encode("utf-8")
-    for seed in range(nonzero):
-        h = fnv1a(raw, seed)
-        out[h % dim] += -1.0 if h >> 63 else 1.0
+    root = fnv1a(raw) ^ (len(raw) * FNV_PRIME & _WRAP)
+    hashes = [fnv1a(raw, root ^ (k * SEED_STEP & _WRAP)) for k in range(nonzero)]
+    out = np.zeros(dim, np.float64)
+    np.add.at(out, [h % dim for h in hashes], [1.0 - 2.0 * (h >> 63) for h in hashes])
     return out
 
 

@@ -30,7 +30,7 @@ def edges(t: Tables) -> DataFrame:
 
 CALLS_SQL = """WITH calls AS (SELECT l_orderkey AS id, 'M' || (l_suppkey % 10)::BIGINT AS caller_module,
  CASE l_linenumber % 5 WHEN 0 THEN 'Run' || (l_partkey % 20)::BIGINT WHEN 1 THEN 'M' || (l_partkey % 15)::BIGINT || '.Run' || (l_partkey % 20)::BIGINT
- WHEN 2 THEN 'Catalogs.X' WHEN 3 THEN 'obj.Write' ELSE 'Message' END AS callee_name FROM lineitem),
+ WHEN 2 THEN 'Справочники.X' WHEN 3 THEN 'obj.Write' ELSE 'Message' END AS callee_name FROM lineitem),
 methods AS (SELECT DISTINCT 'M' || (s_suppkey % 10)::BIGINT AS module, 'run' || (s_suppkey % 12)::BIGINT AS name, ((s_suppkey % 12) % 3 > 0)::INT AS is_export FROM supplier),
 common AS (SELECT DISTINCT module FROM methods),
 r AS (SELECT c.*, strpos(callee_name, '.') AS dot, lower(split_part(callee_name, '.', 1)) AS head, lower(split_part(callee_name, '.', -1)) AS tail FROM calls c),
@@ -40,7 +40,7 @@ x AS (SELECT r.*, own.name IS NOT NULL AS own, a.name IS NOT NULL AS anyw, cm.mo
  LEFT JOIN common cm ON lower(cm.module) = r.head
  LEFT JOIN (SELECT module, name, max(is_export) AS ex FROM methods GROUP BY ALL) e ON e.module = cm.module AND e.name = r.tail),
 resolved AS (SELECT id, CASE WHEN dot = 0 AND own THEN 'local' WHEN dot = 0 AND NOT anyw THEN 'platform_global' WHEN dot = 0 THEN 'unknown'
- WHEN cm IS NOT NULL THEN 'common_module' WHEN head IN ('catalogs', 'documents') THEN 'object_manager' ELSE 'platform_var' END AS resolution,
+ WHEN cm IS NOT NULL THEN 'common_module' WHEN head IN ('справочники', 'документы') THEN 'object_manager' ELSE 'platform_var' END AS resolution,
  CASE WHEN dot = 0 AND own THEN caller_module || '::' || tail WHEN dot > 0 AND ex IS NOT NULL THEN cm || '::' || tail END AS callee_key,
  CASE WHEN dot = 0 AND own THEN 1.0 WHEN dot > 0 AND ex = 1 THEN 1.0 WHEN dot > 0 AND ex IS NOT NULL THEN 0.6 ELSE 0.0 END AS confidence FROM x) """
 
@@ -49,7 +49,7 @@ def resolved_calls(t: Tables) -> DataFrame:
     """Synthetic calls from line items, resolved against methods made from suppliers."""
     num = lambda c, m: (F.col(c) % m).cast("string")
     kind = F.col("l_linenumber") % 5
-    name = F.when(kind == 0, F.concat(F.lit("Run"), num("l_partkey", 20))).when(kind == 1, F.concat(F.lit("M"), num("l_partkey", 15), F.lit(".Run"), num("l_partkey", 20))).when(kind == 2, "Catalogs.X").when(kind == 3, "obj.Write").otherwise("Message")
+    name = F.when(kind == 0, F.concat(F.lit("Run"), num("l_partkey", 20))).when(kind == 1, F.concat(F.lit("M"), num("l_partkey", 15), F.lit(".Run"), num("l_partkey", 20))).when(kind == 2, "Справочники.X").when(kind == 3, "obj.Write").otherwise("Message")
     calls = t.lineitem.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("M"), num("l_suppkey", 10)).alias("caller_module"), name.alias("callee_name"))
     methods = t.supplier.select(F.concat(F.lit("M"), num("s_suppkey", 10)).alias("module"), F.concat(F.lit("run"), num("s_suppkey", 12)).alias("name"), ((F.col("s_suppkey") % 12) % 3 > 0).cast("int").alias("is_export")).distinct()
     return resolve.resolve(calls, methods, methods.select("module", F.col("module").alias("common_name")).distinct())

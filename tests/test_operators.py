@@ -13,7 +13,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("name", "words"),
-    [("HTTPСервисНДС18ПродажиЗаказКлиента", ["http", "сервис", "ндс", "18", "продажи", "заказ", "клиента"]), ("getURLParts_v2x", ["get", "url", "parts"]), ("", []), ("A", [])],
+    [("HTTPСервисНДС18ПродажиЗаказКлиента", ["http", "сервис", "ндс", "18", "продажи", "заказ", "клиента"]), ("getURLParts_v2x", ["get", "url", "parts"]), ("ÉcoleÄpfel2Go", ["école", "äpfel", "go"]), ("", []), ("A", [])],
 )
 def test_tokenize(spark, name, words):
     assert one(spark, T.tokenize_name(F.lit(name))) == words
@@ -47,11 +47,11 @@ def test_walk_follows_shortest_hops(spark):
 def test_resolution_classes(spark):
     methods = spark.createDataFrame([("m1", "Run", 1), ("m2", "Hidden", 0)], "module string, name string, is_export int")
     mods = spark.createDataFrame([("m1", None), ("m2", "Common")], "module string, common_name string")
-    calls = spark.createDataFrame([("m1", "RUN"), ("m2", "run"), ("m1", "Message"), ("m1", "common.hidden"), ("m1", "Common.None"), ("m1", "Catalogs.X.Find"), ("m1", "q.Execute")], "caller_module string, callee_name string")
+    calls = spark.createDataFrame([("m1", "RUN"), ("m2", "run"), ("m1", "Message"), ("m1", "common.hidden"), ("m1", "Common.None"), ("m1", "Справочники.X.Найти"), ("m1", "q.Execute")], "caller_module string, callee_name string")
     got = {r.callee_name: (r.resolution, r.callee_key, r.confidence) for r in resolve.resolve(calls, methods, mods).collect()}
     assert got == {
         "RUN": ("local", "m1::run", 1.0), "run": ("unknown", None, 0.0), "Message": ("platform_global", None, 0.0), "common.hidden": ("common_module", "m2::hidden", 0.6),
-        "Common.None": ("common_module", None, 0.0), "Catalogs.X.Find": ("object_manager", None, 0.0), "q.Execute": ("platform_var", None, 0.0),
+        "Common.None": ("common_module", None, 0.0), "Справочники.X.Найти": ("object_manager", None, 0.0), "q.Execute": ("platform_var", None, 0.0),
     }
 
 
