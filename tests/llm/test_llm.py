@@ -149,8 +149,6 @@ def test_plain_encoder_equals_the_library():
 
 
 def check_packing(found, ids_of):
-    for doc, own in found.groupby("doc_id", dropna=False):
-        pass
     used = found.sort_values(["sequence_id", "offset"])
     assert (used.groupby("sequence_id")["length"].cumsum() - used["length"] == used["offset"]).all()
     sizes = used.groupby("sequence_id")["length"].sum()
