@@ -265,10 +265,10 @@ def bm25_weighted(t):
     return search.and_then_or(t.part, "p_partkey", {"p_name": 5.0, "p_type": 2.0, "p_brand": 1.0}, ["small", "ring", "promo"]).select("id", F.round("score", 6).alias("score"))
 
 
-@query("WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT h, min(doc_id) AS doc_id, count(*) - 1 AS alternates, list_sort(list(doc_id))[2:] AS others FROM d GROUP BY h HAVING count(*) > 1")
+@query("WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT h, min(doc_id) AS doc_id, count(*) - 1 AS alternates, array_to_string(list_sort(list(doc_id))[2:], ',') AS others FROM d GROUP BY h HAVING count(*) > 1")
 def kb_dedupe_alternates(t):
     d = t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return d.where(F.size("ids") > 1).select("h", F.col("ids")[0].alias("doc_id"), (F.size("ids") - 1).cast("long").alias("alternates"), F.slice("ids", 2, 1_000_000_000).alias("others"))
+    return d.where(F.size("ids") > 1).select("h", F.col("ids")[0].alias("doc_id"), (F.size("ids") - 1).cast("long").alias("alternates"), F.array_join(F.slice("ids", 2, 1_000_000_000).cast("array<string>"), ",").alias("others"))
 
 
 GREP_SQL = "WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT id, line::BIGINT AS line, CASE WHEN length(trim(raw, ' ')) > 200 THEN left(trim(raw, ' '), 200) || '…' ELSE trim(raw, ' ') END AS text FROM l WHERE "
@@ -393,9 +393,9 @@ def path_split(t):
 TOKEN_SQL = "list_transform(list_filter(regexp_extract_all({c}, '[A-Z]+[a-z]*|[a-z]+|[0-9]+'), lambda x: length(x) >= 2), lambda x: lower(x))"
 
 
-@query("SELECT c_custkey, " + TOKEN_SQL.format(c="c_name || c_mktsegment") + " AS tokens FROM customer")
+@query("SELECT c_custkey, array_to_string(" + TOKEN_SQL.format(c="c_name || c_mktsegment") + ", ' ') AS tokens FROM customer")
 def tokenize_names(t):
-    return t.customer.select("c_custkey", T.tokenize_name(F.concat("c_name", "c_mktsegment")).alias("tokens"))
+    return t.customer.select("c_custkey", F.array_join(T.tokenize_name(F.concat("c_name", "c_mktsegment")), " ").alias("tokens"))
 
 
 BASKETS_SQL = "ev AS (SELECT l_orderkey AS basket, p_brand AS symbol, l_linenumber AS pos, l_returnflag AS ctx, l_linestatus AS form, p_type AS ptype FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -572,10 +572,10 @@ def stale_edges(t):
     return incremental.stale_edges(calls, methods).select("event_id", F.col("callee_name").alias("event_type"))
 
 
-@query("WITH m AS (SELECT o_orderkey::VARCHAR AS path FROM orders WHERE epoch(o_orderdate) > epoch(TIMESTAMP '1998-01-01 00:00:00') + 1) SELECT count(*) AS changed, (SELECT list_sort(list(path)) FROM (SELECT path FROM m ORDER BY path LIMIT 3)) AS examples, count(*) > 0 AS stale FROM m")
+@query("WITH m AS (SELECT o_orderkey::VARCHAR AS path FROM orders WHERE epoch(o_orderdate) > epoch(TIMESTAMP '1998-01-01 00:00:00') + 1) SELECT count(*) AS changed, (SELECT array_to_string(list_sort(list(path)), ',') FROM (SELECT path FROM m ORDER BY path LIMIT 3)) AS examples, count(*) > 0 AS stale FROM m")
 def freshness_report(t):
     files = t.orders.select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").alias("modificationTime"))
-    return incremental.freshness(files, 883612800.0)
+    return incremental.freshness(files, 883612800.0).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase'")

@@ -91,10 +91,10 @@ def literal_shapes(t):
     return t.events.select("event_id", T.literal_shape(F.col("props")).alias("shape"))
 
 
-@query("SELECT page_id, list_filter(string_split(" + PATH_SQL + ", '/'), lambda x: x <> 'en') AS parts, len(list_filter(string_split(" + PATH_SQL + ", '/'), lambda x: x <> 'en'))::BIGINT AS depth FROM pages")
+@query("SELECT page_id, array_to_string(list_filter(string_split(" + PATH_SQL + ", '/'), lambda x: x <> 'en'), ' / ') AS parts, len(list_filter(string_split(" + PATH_SQL + ", '/'), lambda x: x <> 'en'))::BIGINT AS depth FROM pages")
 def subsystem_paths(t):
     parts = F.filter(F.split("path", "/"), lambda x: x != "en")
-    return _paths(t).select("page_id", parts.alias("parts"), F.size(parts).cast("long").alias("depth"))
+    return _paths(t).select("page_id", F.array_join(parts, " / ").alias("parts"), F.size(parts).cast("long").alias("depth"))
 
 
 @query("WITH b AS (SELECT conv_id AS basket, role || '/' || (turn % 3)::VARCHAR AS symbol, turn AS pos FROM conversations), w AS (SELECT basket, symbol AS s0, lead(symbol) OVER (PARTITION BY basket ORDER BY pos, symbol) AS s1 FROM b), g AS (SELECT DISTINCT basket, s0 || ' > ' || s1 AS gram FROM w WHERE s1 IS NOT NULL AND s1 <> s0) SELECT gram, count(*) AS baskets FROM g GROUP BY 1 HAVING count(*) >= 5")
@@ -123,10 +123,10 @@ def hubs_with_total(t):
     return e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("weight")).where("weight >= 2").crossJoin(F.broadcast(total))
 
 
-@query("SELECT o_orderkey, list_filter(regexp_extract_all(o_orderpriority || ' FROM Catalog.Goods, Document.Sale.Rows // Catalog.Hidden', '(?:Catalog|Document)\\.[\\w.]+'), lambda x: x <> 'Catalog.Hidden') AS refs FROM orders")
+@query("SELECT o_orderkey, array_to_string(list_filter(regexp_extract_all(o_orderpriority || ' FROM Catalog.Goods, Document.Sale.Rows // Catalog.Hidden', '(?:Catalog|Document)\\.[\\w.]+'), lambda x: x <> 'Catalog.Hidden'), ' ') AS refs FROM orders")
 def query_sources(t):
     text = F.concat("o_orderpriority", F.lit(" FROM Catalog.Goods, Document.Sale.Rows // Catalog.Hidden"))
-    return t.orders.select("o_orderkey", F.transform(metadata.query_sources(text), lambda x: x["object_ref"]).alias("refs"))
+    return t.orders.select("o_orderkey", F.array_join(F.transform(metadata.query_sources(text), lambda x: x["object_ref"]), " ").alias("refs"))
 
 
 @query()
