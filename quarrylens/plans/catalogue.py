@@ -222,10 +222,10 @@ def usages_existing_only(t):
     return relational.existing_only(t.events.select("event_id", "event_type"), registry, "event_type", "name")
 
 
-@query("SELECT lower(c_name) AS name, 'base' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT lower(c_name), 'extension' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
+@query("SELECT lower(c_name) AS name, 'base' AS origin FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT lower(c_name), 'extension' FROM customer WHERE c_acctbal < 0")
 def extension_dedupe(t):
-    base = t.customer.where("c_custkey % 2 = 0").select(F.lower("c_name").alias("name"), F.lit("base").alias("origin"))
-    return relational.base_wins(base, t.customer.where("c_custkey % 3 = 0").select(F.lower("c_name").alias("name"), F.lit("extension").alias("origin")), ["name"])
+    base = t.customer.where("c_acctbal >= 0").select(F.lower("c_name").alias("name"), F.lit("base").alias("origin"))
+    return relational.base_wins(base, t.customer.select(F.lower("c_name").alias("name"), F.lit("extension").alias("origin")), ["name"])
 
 
 WORDS_SQL = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 1)"
@@ -300,13 +300,13 @@ def html_to_text_pages(t):
     return t.pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query("""WITH o AS (SELECT page_id, sha256(html) AS h FROM pages WHERE page_id % 5 <> 0), n AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN sha256(html || 'x') ELSE sha256(html) END AS h FROM pages WHERE page_id % 3 <> 0)
+@query("""WITH o AS (SELECT page_id, sha256(html) AS h FROM pages WHERE NOT contains(url, '?')), n AS (SELECT page_id, CASE WHEN contains(url, 'blog') THEN sha256(html || 'x') ELSE sha256(html) END AS h FROM pages WHERE NOT contains(url, '#'))
  SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN o.page_id IS NULL THEN 'added' WHEN n.page_id IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.page_id = n.page_id""")
 def help_sync_diff(t):
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     html = F.col("html")
-    old = t.pages.where("page_id % 5 <> 0").select("page_id", sha(html).alias("h"))
-    new = t.pages.where("page_id % 3 <> 0").select("page_id", F.when(F.col("page_id") % 7 == 0, sha(F.concat(html, F.lit("x")))).otherwise(sha(html)).alias("h"))
+    old = t.pages.where("NOT contains(url, '?')").select("page_id", sha(html).alias("h"))
+    new = t.pages.where("NOT contains(url, '#')").select("page_id", F.when(F.contains("url", F.lit("blog")), sha(F.concat(html, F.lit("x")))).otherwise(sha(html)).alias("h"))
     return incremental.sync_diff(old, new, "page_id", "h")
 
 
@@ -531,12 +531,12 @@ def conflict_resolution(t):
     return stand.withColumn("stands", F.lit(True)).unionByName(fall.withColumn("stands", F.lit(False))).select("id", "topic", "authority", "stands")
 
 
-@query("""WITH r AS (SELECT l_suppkey AS id, count(*) AS sample, count(*) FILTER (l_discount < 0.1) AS matches FROM lineitem GROUP BY 1), e AS (SELECT l_suppkey AS id, count(*) AS shown, count(*) FILTER (l_partkey % 97 = 0) AS missing FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 7) GROUP BY 1)
+@query("""WITH r AS (SELECT l_suppkey AS id, count(*) AS sample, count(*) FILTER (l_discount < 0.1) AS matches FROM lineitem GROUP BY 1), e AS (SELECT l_suppkey AS id, count(*) AS shown, count(*) FILTER (p_size = 50) AS missing FROM (SELECT DISTINCT l_suppkey, l_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48) GROUP BY 1)
  SELECT r.id, r.sample, r.matches, r.sample >= 10 AND r.matches >= 0.9 * r.sample AND coalesce(missing, 1) = 0 AND coalesce(shown, 0) > 0 AS verified FROM r LEFT JOIN e ON e.id = r.id""")
 def rule_validation(t):
     rules = t.lineitem.groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("sample"), F.count_if(F.col("l_discount") < 0.1).alias("matches"))
-    evidence = t.lineitem.where("l_linenumber = 7").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("address")).distinct()
-    return practices.validate(rules, evidence, t.part.where("p_partkey % 97 <> 0").select("p_partkey"))
+    evidence = t.lineitem.where("l_quantity > 48").join(t.part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("address")).distinct()
+    return practices.validate(rules, evidence, t.part.where("p_size <> 50").select("p_partkey"))
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 25 OFFSET 50")
@@ -549,20 +549,19 @@ def catalog_page_state(t):
     return relational.page(t.part, ["p_partkey"], 50, 25)[1]
 
 
-UPSERT_SQL = "WITH nw AS (SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 10 = 3), touched AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 IN (3, 4)) "
+UPSERT_SQL = "WITH nw AS (SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'F'), touched AS (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')) "
 
 
 @query(UPSERT_SQL + "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM touched) UNION ALL SELECT * FROM nw)")
 def incremental_upsert(t):
-    old = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    new = old.where("o_orderkey % 10 = 3").withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    return incremental.upsert(old, new, "o_orderkey", old.where("o_orderkey % 10 IN (3, 4)")).withColumn("o_totalprice", F.round("o_totalprice", 2))
+    columns = ("o_orderkey", "o_custkey", "o_totalprice")
+    new = t.orders.where("o_orderstatus = 'F'").select(*columns).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return incremental.upsert(t.orders.select(*columns), new, "o_orderkey", t.orders.where("o_orderstatus IN ('F', 'P')")).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@query("SELECT 0::BIGINT AS added, count(*) FILTER (o_orderkey % 10 = 3) AS replaced, count(*) FILTER (o_orderkey % 10 = 4) AS removed FROM orders")
+@query("SELECT 0::BIGINT AS added, count(*) FILTER (o_orderstatus = 'F') AS replaced, count(*) FILTER (o_orderstatus = 'P') AS removed FROM orders")
 def incremental_report(t):
-    old = t.orders.select("o_orderkey")
-    return incremental.upsert_report(old, old.where("o_orderkey % 10 = 3"), "o_orderkey", old.where("o_orderkey % 10 IN (3, 4)"))
+    return incremental.upsert_report(t.orders, t.orders.where("o_orderstatus = 'F'"), "o_orderkey", t.orders.where("o_orderstatus IN ('F', 'P')"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE user_id % 3 = 0 AND event_type IN ('click', 'error')")

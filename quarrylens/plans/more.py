@@ -25,10 +25,10 @@ def prefix_join(t):
     return matching.under_roots(p, roots, "path", "root")
 
 
-@query("WITH p AS (SELECT DISTINCT 'dump/' || " + PATH_SQL + " AS q FROM pages), k AS (SELECT DISTINCT string_split(" + PATH_SQL + ", '/')[-1] AS m FROM pages UNION SELECT DISTINCT array_to_string(string_split(" + PATH_SQL + ", '/')[-2:], '/') FROM pages WHERE page_id % 2 = 0), h AS (SELECT q, m FROM p JOIN k ON q = m OR ends_with(q, '/' || m)) SELECT q, min(m) AS match FROM h GROUP BY q HAVING count(*) = 1")
+@query("WITH p AS (SELECT DISTINCT 'dump/' || " + PATH_SQL + " AS q FROM pages), k AS (SELECT DISTINCT string_split(" + PATH_SQL + ", '/')[-1] AS m FROM pages UNION SELECT DISTINCT array_to_string(string_split(" + PATH_SQL + ", '/')[-2:], '/') FROM pages WHERE contains(url, '/en/')), h AS (SELECT q, m FROM p JOIN k ON q = m OR ends_with(q, '/' || m)) SELECT q, min(m) AS match FROM h GROUP BY q HAVING count(*) = 1")
 def unique_suffix_match(t):
     p, parts = _paths(t), F.split("path", "/")
-    known = p.select(F.element_at(parts, -1).alias("m")).unionByName(p.where("page_id % 2 = 0").select(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/").alias("m")))
+    known = p.select(F.element_at(parts, -1).alias("m")).unionByName(p.where("contains(path, '/en/')").select(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/").alias("m")))
     return matching.unique_suffix(p.select(F.concat(F.lit("dump/"), F.col("path")).alias("q")).distinct(), known, "q", "m")
 
 
@@ -60,9 +60,9 @@ def similar_by_prefix(t):
     return matching.similar_by_prefix(t.part, "p_name", "Small Ring")
 
 
-@query("SELECT 'only_a' AS side, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 UNION ALL SELECT 'only_b', count(*) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
+@query("SELECT 'only_a' AS side, count(*) AS n FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING' UNION ALL SELECT 'only_b', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")
 def answer_comparison(t):
-    return matching.compare_sets(t.customer.where("c_custkey % 2 = 0").select("c_custkey"), t.customer.where("c_custkey % 3 = 0").select("c_custkey"))
+    return matching.compare_sets(t.customer.where("c_acctbal < 0").select("c_custkey"), t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey"))
 
 
 @query("""WITH a AS (SELECT doc_id, text, strpos(lower(text), 'license') AS p FROM documents) SELECT doc_id AS id, regexp_replace(substr(text, greatest(p - 30, 1)::INT, least(p - 1, 30)::INT) || '[' || substr(text, p::INT, 7) || ']' || substr(text, (p + 7)::INT, 30), '\\s+', ' ', 'g') AS snippet FROM a WHERE p > 0""")
