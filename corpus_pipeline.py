@@ -14,6 +14,9 @@ from quarrylens.llm import minhash, packing, pii, quality_model, substrings
 from quarrylens.llm.common import scratch_path, table
 from quarrylens.llm.queries import TOKENIZERS
 
+#: Near copies are linked from this similarity of word shingles on: 100 * intersection >= 80 * union.
+NEAR = (80, 100)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; the rest stays as it is."""
@@ -23,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the smallest id; documents linked with nothing all stay."""
-    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
+    classes = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=NEAR)
     gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 

@@ -490,3 +490,34 @@ def test_pipeline(spark, sf_dir):
     assert fourth.columns == docs.columns and not any(base_of(r.text) for r in fourth.collect())
     assert corpus_pipeline.pack(spark, fourth, sf_dir).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "personal_data", "pack"]
+
+
+def kept_from(rows, percent):
+    """The smallest id of each class of sets linked from this percentage on."""
+    sets, parent = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d for d in sets if root(d) == d}
+
+
+def test_pipeline_links_from_080(spark, sf_dir):
+    """Made pairs on both sides of 0.80 and 0.85, and the documents that the stage before leaves."""
+    import corpus_pipeline
+
+    words = [[f"w{k}x{i}" for i in range(104)] for k in range(6)]
+    rows = [(10**6 + 2 * k + copy, " ".join(w if not copy else w[: 97 - k] + [f"e{i}" for i in range(7 + k)])) for k, w in enumerate(words) for copy in (0, 1)]
+    shared = [(lambda a, b: len(a & b) / len(a | b))(shingle_set(rows[i][1]), shingle_set(rows[i + 1][1])) for i in range(0, 12, 2)]
+    assert min(shared) < 0.8 and sum(0.8 <= x < 0.85 for x in shared) >= 2 and max(shared) >= 0.85
+    made = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    docs = corpus_pipeline.quality(spark, table(spark, sf_dir, "documents"), sf_dir).unionByName(made)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == kept_from(rows, 80) != kept_from(rows, 85)
