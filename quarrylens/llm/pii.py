@@ -45,7 +45,13 @@ WIDER = {
     "hidden_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{2,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z]{2,24}){1,4}(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
-WIDER_HINT = r"[0-9]{3}|AKIA|ASIA|(?i:passw|pwd|secret|token|key)|[({\[]at[)}\]]|\x20at\x20"
+#: A text can only hold a candidate of the kind where it matches this: each is a part of every alternative of the pattern above.
+WIDER_NEEDS = {
+    "secret": r"AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]|[0-9a-f]{32}|[A-Za-z0-9_-]{20}\.[A-Za-z0-9_-]{20}",
+    "id_number": r"[0-9](?:[\x20-]?[0-9]){8}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+    "hidden_email": r"\(at\)|\[at\]|\{at\}|\x20at\x20",
+    "local_phone": r"[0-9]{3}[\x20.-][0-9]{4}",
+}
 
 #: Words that name personal data or credentials nearby (fixed values).
 CONTEXT = r"(?i)(?:phone|tel|mobile|call|fax|mail|contact|ssn|iban|account|card|passport|password|secret|token|key|login|user)[^A-Za-z]{0,12}$"
@@ -151,10 +157,9 @@ def with_candidates(found: DataFrame) -> DataFrame:
     base = F.concat(*[F.col(f"__{k}") for k in KINDS])
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,before:string>>")
     names: list[str] = []
-    found = found.withColumn("__hinted", text.rlike(WIDER_HINT))
     for kind, pattern in WIDER.items():  # one column after the other, so that none is computed twice
         taken = F.concat(*names) if names else none
-        found = found.withColumn(f"__w_{kind}", F.when(F.col("__hinted"), _fresh(text, kind, pattern, base, taken)).otherwise(none))
+        found = found.withColumn(f"__w_{kind}", F.when(text.rlike(WIDER_NEEDS[kind]), _fresh(text, kind, pattern, base, taken)).otherwise(none))
         names.append(f"__w_{kind}")
     return found.withColumn("__candidates", F.concat(*names))
 

@@ -362,6 +362,32 @@ def test_secrets_are_added_and_redacted(spark):
     assert [out[i] for i in range(6)] == ["the <SECRET> here", "key <SECRET> end", "<SECRET> x", "nothing to see", "mail me <EMAIL> or <PHONE>", None]
 
 
+def candidates_of(spark, texts):
+    found = pii.with_candidates(pii.find_base(frame(spark, texts)))
+    return {r.doc_id: [(c.kind, c.start, c.end) for c in r["__candidates"]] for r in found.select("doc_id", "__candidates").collect()}
+
+
+def test_hints_hide_no_candidate(spark, monkeypatch):
+    """Spans whose text holds nothing else are found, and what the hints let through is what the patterns find alone."""
+    rng = random.Random(12)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters, base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    kinds = {
+        "secret": lambda: rng.choice([".".join(some(letters, n) for n in (36, 100, 43)), "a" + some("0123456789abcdef", 31), rng.choice(["Pwd", "api-key", "ACCESS_KEY", "token"]) + rng.choice(["=", " : "]) + some(letters, 9), "ASIA" + some("ABCDEF", 16)]),
+        "id_number": lambda: rng.choice([" ".join(some("0123456789", 2) for _ in range(5)), "-".join(some("0123456789", 1) for _ in range(9)), "GB" + " ".join(["12"] + [some("ABCD", 4) for _ in range(4)])]),
+        "hidden_email": lambda: f"{some(letters, 6)}{rng.choice(['(at)', ' at ', '[at]', ' {at} '])}{some(letters, 5)}{rng.choice([' dot ', '.', '(dot)'])}org",
+        "local_phone": lambda: f"{some('0123456789', 3)}{rng.choice('. -')}{some('0123456789', 3)}{rng.choice('. -')}{some('0123456789', 4)}",
+    }
+    made = [(kind, make()) for kind, make in kinds.items() for _ in range(80)]
+    texts = [f"see {t} here" for _, t in made] + ["".join(rng.choice([some(base64, rng.randint(1, 40)), ".", " ", "-", " at ", "12", "=", "token"]) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    got = candidates_of(spark, texts)
+    for i, (kind, t) in enumerate(made):
+        if kind != "local_phone":  # ten digits in groups are an id_number first
+            assert (kind, 4, 4 + len(t)) in got[i], t
+    monkeypatch.setattr(pii, "WIDER_NEEDS", dict.fromkeys(pii.WIDER, ""))
+    assert candidates_of(spark, texts) == got
+
+
 def test_em_finds_the_better_labeler():
     rng = random.Random(1)
     counts = collections.Counter()
