@@ -38,9 +38,10 @@ BASE = {
 #: A text can only match where it holds this.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Candidate kinds beyond the base.
+#: Candidate kinds beyond the base.  Lengths are open where the span's are; the three-part token comes first and
+#: enters a run of its characters once, so that long runs (a line of dashes) cost linear time.
 WIDER = {
-    "secret": r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,200}[\"']?|[0-9a-f]{32,128}(?![0-9A-Za-z])|[A-Za-z0-9_-]{20,200}\.[A-Za-z0-9_-]{20,200}\.[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-]))",
+    "secret": r"(?<![A-Za-z0-9_])(?:(?<!-)[A-Za-z0-9_-]{20,}+\.[A-Za-z0-9_-]{20,}+\.[A-Za-z0-9_-]{20,}+|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,}+[\"']?|[0-9a-f]{32,}+(?![0-9A-Za-z]))",
     "id_number": r"(?<![0-9A-Za-z.,+-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9](?:[\x20-]?[0-9]){8,18})(?![0-9A-Za-z])",
     "hidden_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{2,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z]{2,24}){1,4}(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",

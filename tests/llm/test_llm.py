@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -388,6 +389,30 @@ def test_hints_hide_no_candidate(spark, monkeypatch):
     assert candidates_of(spark, texts) == got
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(13)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word, base64 = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    made = []
+    for n in (199, 200, 201, 202, 500, 5000):
+        made += [f"password={some(word, n)}", f"token: '{some(word, n)}'", some("0123456789abcdef", n), "deadbeef" * 16 + some("0123456789abcdef", n)]
+        made += [".".join("a" + some(base64, m - 1) for m in sizes) for sizes in ((n, 40, 43), (36, n, 43), (36, 100, n), (n, n, n))]
+    made += ["0123456789abcdef" * 8, "0123456789abcdef" * 8 + "0"]
+    texts = [f"see {t} here" for t in made]
+    got = candidates_of(spark, texts)
+    for i, t in enumerate(made):
+        assert got[i] == [("secret", 4, 4 + len(t))], t
+    out = {r.doc_id: r.text for r in pii.redact(frame(spark, texts)).collect()}
+    assert all(out[i] == "see <SECRET> here" for i, t in enumerate(made) if t.startswith("password"))
+
+
+def test_long_runs_are_entered_once(spark):
+    texts = ["-" * 400_000, "a-" * 200_000, "-_" * 200_000, "ab." * 100_000, "token=" * 60_000, "0" * 400_000 + "g", ("a" * 30 + ".") * 10_000]
+    at = time.time()
+    assert [k for k, *_ in candidates_of(spark, texts)[6]] == ["secret"] * 3333
+    assert time.time() - at < 60
+
+
 def test_em_finds_the_better_labeler():
     rng = random.Random(1)
     counts = collections.Counter()
