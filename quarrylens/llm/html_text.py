@@ -4,7 +4,8 @@ Pages of one host are merged into a style tree: a node is a path of tags (with c
 presentation styles are the sequences of child nodes seen under it, and its leaf contents are the texts
 seen there.  A node whose presentations and contents vary from page to page is important; one that looks
 the same on most pages of the host is template.  Importance is an entropy, scaled to 0..1 by the number
-of pages that show the node; with a single page it says nothing and is 1.
+of pages that show the node; with a single page it says nothing and is 1.  A node is judged for its own
+text alone: what lies below it in blocks has nodes of its own and never goes with it.
 
 The tree is a table of (host, node, feature) counts, combined before the shuffle; no page's DOM and no
 host's pages are gathered in one task.  Only the keys of unimportant nodes return to the pages of their
@@ -189,7 +190,7 @@ def style_features(root: Node) -> Iterator[tuple[int, int]]:
 
 
 def page_text(root: Node, unimportant: set[int]) -> str:
-    """The blocks of what is left after the dropped and the unimportant branches.
+    """The blocks of what is left after the dropped branches and the own text of unimportant nodes.
 
     What the markup itself declares as the article is kept whatever the tree says, and so is a page of which nothing else would be left.
     """
@@ -209,11 +210,13 @@ def page_text(root: Node, unimportant: set[int]) -> str:
             end()
         elif isinstance(item, str):
             line.append(item)
-        elif not item.dropped and (item.safe or item.tag in INLINE or item.key not in unimportant):
+        elif not item.dropped:
             if item.tag not in INLINE:
                 end()
                 stack.append(None)
-            stack.extend(reversed(item.children))
+            # elements in a line have the key of the node they stand in
+            bare = not item.safe and item.key in unimportant
+            stack.extend(c for c in reversed(item.children) if not (bare and isinstance(c, str)))
         elif item.tag not in INLINE:
             end()
     end()

@@ -473,6 +473,14 @@ def test_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_static_text_takes_no_branch_with_it(spark):
+    """Own text that every page shows goes; blocks below it stay if they vary, at any depth."""
+    page = '<html><body>Welcome<div class="content">Published <b>in</b> News<p>first %d</p><p>second %d</p><div>Tags<span>: all<ul><li>Static</li><li>tag %d</li></ul></span></div></div><div class="box"><p>block %d</p></div></body></html>'
+    pages = [(i, f"http://h.example/{i}", page % (i, i, i, i)) for i in range(40)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"first {i}\n\nsecond {i}\n\nStatic\n\ntag {i}\n\nblock {i}" for i in range(40))  # the li share a node, whose text varies
+
+
 def test_importance_is_the_entropy(spark):
     rows = [("h", 1, "t", 5, 4), ("h", 1, "t", 6, 4), ("h", 2, "t", 7, 9), ("h", 3, "t", 8, 1)]
     got = {r.node: r.importance for r in html_text.importance(spark.createDataFrame(rows, "host string, node long, kind string, feature long, n long")).collect()}
