@@ -7,8 +7,9 @@ the same on most pages of the host is template.  Importance is an entropy, scale
 of pages that show the node; with a single page it says nothing and is 1.  A node is judged for its own
 text alone: what lies below it in blocks has nodes of its own and never goes with it.
 
-The tree is a table of (host, node, feature) counts, combined before the shuffle; no page's DOM and no
-host's pages are gathered in one task.  Only the keys of unimportant nodes return to the pages of their
+The tree is a table of (host, node, feature) counts over the distinct pages of the host: what moves is one
+row of features for each (host, digest of the page), copies combined before the shuffle, and then counts; no
+page's DOM and no host's pages are gathered in one task.  Only the keys of unimportant nodes return to the pages of their
 host.  Beside it stand the roles that the markup itself declares (navigation, header, footer, aside, form,
 script, style, dialog) and class or id names that say the same; they hold on hosts with few pages.
 
@@ -16,7 +17,8 @@ Text: character references are decoded, white space inside a block becomes one s
 and joined in page order by two line feeds.
 
 Defined cases: a null or empty page has an empty text; a page without tags is one block; null urls form
-one host; repeated rows are treated one by one and count as separate pages of the tree; an empty table
+one host; repeated rows are treated one by one, and copies of a page count once in the tree of
+their host; an empty table
 gives an empty result; very deep or unclosed markup is read without recursion.
 """
 
@@ -238,22 +240,31 @@ def importance(counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, kind, feature, n): how many pages of a host show each feature at each node."""
+    """(host, node, kind, feature, n): how many distinct pages of a host show each feature at each node."""
     plain = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found: dict[tuple, int] = {}
+                seen: dict[tuple[str, bytes], None] = {}
+                rows: list[tuple[int, str, int]] = []
+                ends = [0]
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for key in _features_with_kind(parse(page)):
-                        found[host, *key] = found.get((host, *key), 0) + 1
-                columns = list(zip(*[(*k, n) for k, n in found.items()], strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "kind", "feature", "n"])
-
-    found = plain.mapInArrow(run, "host string, node bigint, kind string, feature bigint, n bigint")
-    return found.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+                    one = (host, blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    if one not in seen:
+                        seen[one] = None
+                        rows += _features_with_kind(parse(page))
+                        ends.append(len(rows))
+                hosts, digests = zip(*seen, strict=True)
+                node, kind, feature = zip(*rows, strict=True)
+                fields = [pa.array(node, pa.int64()), pa.array(kind, pa.string()), pa.array(feature, pa.int64())]
+                features = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["node", "kind", "feature"]))
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), features], names=["host", "digest", "found"])
+
+    found = plain.mapInArrow(run, "host string, digest binary, found array<struct<node:bigint,kind:string,feature:bigint>>")
+    distinct = found.dropDuplicates(["host", "digest"]).select("host", F.explode("found").alias("f"))
+    return distinct.groupBy("host", F.col("f.node").alias("node"), F.col("f.kind").alias("kind"), F.col("f.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _features_with_kind(root: Node) -> set[tuple[int, str, int]]:

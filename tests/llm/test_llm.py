@@ -481,6 +481,15 @@ def test_static_text_takes_no_branch_with_it(spark):
     assert all(found[i] == f"first {i}\n\nsecond {i}\n\nStatic\n\ntag {i}\n\nblock {i}" for i in range(40))  # the li share a node, whose text varies
 
 
+def test_copies_count_once(spark):
+    """Many copies of one page make no template of what every distinct page has once."""
+    page = "<html><body><h1>Title %d</h1><div>text %d</div><p>Same end</p></body></html>"
+    numbers = [*range(20), *[20] * 400]
+    pages = [(i, f"http://h.example/{i}", page % (k, k)) for i, k in enumerate(numbers)] + [(1000 + i, "http://e.example", None) for i in range(9)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(found) == 429 and all(found[i] == f"Title {k}\n\ntext {k}" for i, k in enumerate(numbers)) and found[1000] == ""
+
+
 def test_importance_is_the_entropy(spark):
     rows = [("h", 1, "t", 5, 4), ("h", 1, "t", 6, 4), ("h", 2, "t", 7, 9), ("h", 3, "t", 8, 1)]
     got = {r.node: r.importance for r in html_text.importance(spark.createDataFrame(rows, "host string, node long, kind string, feature long, n long")).collect()}
