@@ -201,11 +201,11 @@ def _sketch(docs: DataFrame, bands: int, rows: int, b: int, width: int) -> DataF
                 keys, planes = band_keys(minima, bands, rows), pack_bits(minima, b)
                 node = np.array([int(mix(np.atleast_1d(np.bitwise_xor.reduce(mix(s))) + s.sum(dtype=_U) + _U(len(s))).view(np.int64)[0]) if len(s) else 0 for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel())), pa.array([p.tobytes() for p in planes], pa.binary())],
-                    names=["id", "n", "node", "keys", "sig"],
+                    [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel())), pa.array([p.tobytes() for p in planes], pa.binary())],
+                    names=["id", "text_hash", "n", "node", "keys", "sig"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, node bigint, keys array<bigint>, sig binary")
+    return docs.mapInArrow(run, f"id {id_type}, text_hash bigint, n bigint, node bigint, keys array<bigint>, sig binary")
 
 
 def _with_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -329,12 +329,13 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row."""
     n_hashes = bands * rows
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketch = staged(_sketch(plain, bands, rows, b, width), "sketch")
 
     usable = sketch.where("n > 0 AND id IS NOT NULL")
-    # one node for each distinct set; any of its documents can give the text again
-    nodes = staged(usable.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    # one node for each distinct set; one of its documents, by id and hash of its text, gives the text again
+    source = F.min(F.struct("id", "text_hash"))
+    nodes = staged(usable.groupBy("node").agg(source["id"].alias("id"), source["text_hash"].alias("text_hash"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("mates"), F.min("node").alias("leader")).where("mates > 1")
     stars = staged(banded.join(buckets, "key").select("node", "leader", "mates"), "stars")
@@ -343,14 +344,15 @@ def near_duplicates(
 
     # block sizes and hubs, then the parts of large blocks
     member = staged(
-        blocks.withColumnRenamed("component", "block").join(weight, "node").join(nodes.select("node", "id", "sig"), "node"), "members"
+        blocks.withColumnRenamed("component", "block").join(weight, "node").join(nodes.select("node", "id", "text_hash", "sig"), "node"), "members"
     )
     sizes = member.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.max_by("node", F.struct("weight", F.negative("node"))).alias("hub"))
     placed = member.join(sizes, "block").withColumn("parts", F.ceil(F.col("m") / part_size).cast("int"))
     placed = placed.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(F.lit(0)))
-    texts = plain.where(F.col("id").isNotNull()).join(placed.select("node", "id", "sig", "block", "hub", "parts", "part"), "id")
-    # a document id may stand for several texts: keep those that make the node's set, once
-    with_sets = _with_sets(texts.drop("id"), width)
+    # a document id may stand for several texts: the hash picks the one that makes the node's set
+    texts = plain.where(F.col("id").isNotNull()).join(placed.select("node", "id", "text_hash", "sig", "block", "hub", "parts", "part"), ["id", "text_hash"])
+    # repeated rows of that text are combined before anything is grouped
+    with_sets = _with_sets(texts.drop("id", "text_hash"), width).dropDuplicates(["block", "node"])
     sets = staged(with_sets, "sets")
 
     # small blocks are dealt out together, large ones part by part, each part with the hub
@@ -364,7 +366,6 @@ def near_duplicates(
 
     def diagonal(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        group = group.drop_duplicates(["block", "node"])
         for _, block in group.groupby("block", sort=False):
             block = block.sort_values("node", kind="stable").reset_index(drop=True)
             ids = block["node"].tolist()

@@ -240,6 +240,17 @@ def test_near_duplicates_equal_brute_force(spark, part_size):
     assert found.where("kept <> coalesce(doc_id = component_id, true)").count() == 0
 
 
+def test_an_id_with_two_texts_links_by_both(spark):
+    """Rows that repeat an id with other texts: every set is compared, whichever row comes first."""
+    rng = random.Random(21)
+    words = [[f"w{rng.randrange(9000)}" for _ in range(90)] for _ in range(60)]
+    rows = [(k // 2, " ".join(w)) for k, w in enumerate(words)] + [(100 + k, " ".join([*w[:-1], "end"])) for k, w in enumerate(words)]
+    rows += [rows[0]] * 50 + [(k // 2, f"{words[k][0]} other text {k} without a copy") for k in range(0, 60, 3)]
+    rng.shuffle(rows)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == collections.Counter(brute_classes(rows))
+
+
 def test_near_duplicates_edges(spark, odd):
     found = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert found[1] == (1, True) and found[2] == (2, True) and found[6] == (5, False) and found[None] == (None, True)
