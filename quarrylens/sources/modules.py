@@ -63,29 +63,43 @@ def strip_code(text: str) -> str:
     return "\n".join(out)
 
 
-def count_args(code: str, open_at: int) -> int:
-    """Arguments of the call whose bracket opens at ``open_at``: commas at its own depth and one, none for empty brackets."""
-    depth, commas, seen = 0, 0, False
-    for c in code[open_at:]:
+def brackets(code: str) -> dict[int, tuple[int, int]]:
+    """For every opening bracket of the code its closing one (the code's length if there is none) and the arguments between them.
+
+    Arguments are the commas at the bracket's own depth and one, none for empty brackets.  One pass, however long a call is.
+    """
+    found: dict[int, tuple[int, int]] = {}
+    open_now: list[list] = []
+
+    def close(at: int) -> None:
+        start, commas, seen = open_now.pop()
+        found[start] = at, commas + 1 if seen or commas else 0
+
+    for at, c in enumerate(code):
         if c in "([{":
-            depth += 1
-            seen |= depth > 1
+            if open_now:
+                open_now[-1][2] = True
+            open_now.append([at, 0, False])
+        elif not open_now:
+            continue
         elif c in ")]}":
-            depth -= 1
-            if depth == 0:
-                break
-        elif depth == 1 and c == ",":
-            commas += 1
-        elif depth >= 1 and not c.isspace():
-            seen = True
-    return commas + 1 if seen or commas else 0
+            close(at)
+        elif c == ",":
+            open_now[-1][1] += 1
+        elif not c.isspace():
+            open_now[-1][2] = True
+    while open_now:
+        close(len(code))
+    return found
 
 
 def parse_module(text: str) -> dict[str, list]:
     """methods, calls and regions of one module; calls outside methods are no edges."""
-    lines, code = text.split("\n"), strip_code(text).split("\n")
+    lines, whole = text.split("\n"), strip_code(text)
+    code, ends, at = whole.split("\n"), brackets(whole), 0
     methods, calls, regions, open_regions, now, pending = [], [], [], [], None, None
     for n, (raw, line) in enumerate(zip(lines, code, strict=True), 1):
+        first, at = at, at + len(line) + 1  # where the line and the next one begin
         if m := _REGION.match(line):
             open_regions.append([m[1], n, None])
             regions.append(open_regions[-1])
@@ -98,15 +112,10 @@ def parse_module(text: str) -> dict[str, list]:
             pending = m[1]
             continue
         if m := _METHOD.match(line):
-            whole = "\n".join(code[n - 1 : n + 30])
-            start = whole.index("(")
-            depth, end = 0, len(whole)
-            for i in range(start, len(whole)):
-                depth += (whole[i] == "(") - (whole[i] == ")")
-                if depth == 0:
-                    end = i
-                    break
-            now = {"name": m[2], "type": BEGIN[m[1].lower()], "is_export": int(bool(_EXPORT.match(whole[end:]))), "params": re.sub(r"\s+", " ", whole[start + 1 : end]).strip(), "line": n, "end_line": None, "override_of": pending}
+            start = first + m.end() - 1
+            end = ends[start][0]
+            end = first + len(line) if end == len(whole) else end  # never closed: it ends with its line
+            now = {"name": m[2], "type": BEGIN[m[1].lower()], "is_export": int(bool(_EXPORT.match(whole, end))), "params": re.sub(r"\s+", " ", whole[start + 1 : end]).strip(), "line": n, "end_line": None, "override_of": pending}
             pending = None
             methods.append(now)
             continue
@@ -122,7 +131,7 @@ def parse_module(text: str) -> dict[str, list]:
                     continue
                 if re.search(r"(?i)\b(?:new|новый)\s+$", line[: m.start()]):
                     continue
-                calls.append((now["name"], name, n, count_args("\n".join(code[n - 1 : n + 30]), m.end() - 1)))
+                calls.append((now["name"], name, n, ends[first + m.end() - 1][1]))
     for m in methods:
         m["end_line"] = m["end_line"] or len(lines)
         m["loc"] = m["end_line"] - m["line"] + 1

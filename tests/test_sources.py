@@ -32,6 +32,16 @@ def test_parse_module():
     assert modules.normalize_source("﻿a\r\nb\rc".encode()) == "a\nb\nc"
 
 
+def test_long_calls_and_signatures():
+    query = "\n".join(f"    |  Field{i}, (a{i}" for i in range(60))
+    names = ",\n".join(f"  P{i} = 1" for i in range(50))
+    text = f'Procedure Long(\n{names}\n) Export\n  Run("\n{query}\n    |", A,\n' + "\n" * 40 + '  Other(B, [1, 2], C), D);\nEndProcedure\nFunction Open(A,\n'
+    out = modules.parse_module(text)
+    assert [(m["name"], m["is_export"], m["params"].count("=")) for m in out["methods"]] == [("Long", 1, 50), ("Open", 0, 0)]
+    assert [(name, n) for _, name, _, n in out["calls"]] == [("Run", 4), ("Other", 3)]
+    assert modules.parse_module("Procedure P()\n  F(G(), , );\n  H( );\nEndProcedure")["calls"] == [("P", "F", 2, 3), ("P", "G", 2, 0), ("P", "H", 3, 0)]
+
+
 def test_read_and_parse_files(spark, tmp_path):
     (tmp_path / "dump" / "CommonModules" / "Tools" / "Ext").mkdir(parents=True)
     (tmp_path / "dump" / "CommonModules" / "Tools" / "Ext" / "Module.bsl").write_text(MODULE)
