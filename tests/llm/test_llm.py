@@ -2,6 +2,8 @@ import base64
 import collections
 import gzip
 import hashlib
+import html.parser
+import itertools
 import random
 import re
 import time
@@ -501,14 +503,122 @@ def test_copies_count_once(spark):
     assert len(found) == 429 and all(found[i] == f"Title {k}\n\ntext {k}" for i, k in enumerate(numbers)) and found[1000] == ""
 
 
-def test_importance_is_the_entropy(spark):
-    rows = [("h", 1, "t", 5, 4), ("h", 1, "t", 6, 4), ("h", 2, "t", 7, 9), ("h", 3, "t", 8, 1)]
-    got = {r.node: r.importance for r in html_text.importance(spark.createDataFrame(rows, "host string, node long, kind string, feature long, n long")).collect()}
-    assert abs(got[1] - html_text.entropy_of([4, 4])) < 1e-9 and abs(got[2]) < 1e-9 and got[3] == 1.0
+class Outline(html.parser.HTMLParser):
+    """Child tags and own text of every element path, as Python's parser reads well-formed pages."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.shapes, self.texts = ["#root"], {"#root": [[]]}, {}
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        label = tag + "".join(f"|{k[0]}={v}" for k, v in attrs)
+        self.shapes["/".join(self.path)][-1].append(label)
+        self.path.append(label)
+        self.shapes.setdefault("/".join(self.path), []).append([])
+        self.texts.setdefault("/".join(self.path), []).append("")
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.texts["/".join(self.path)][-1] += data
+
+
+def brute_importance(pages):
+    """(host, path, kind) -> importance from the definitions, over distinct pages."""
+    own, every = collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), collections.defaultdict(collections.Counter)
+    shown, shown_all = collections.Counter(), collections.Counter()
+    for host, page in sorted(set(pages)):
+        o = Outline(page)
+        for path, shapes in o.shapes.items():
+            seen = {tuple(k for k, _ in itertools.groupby(s)) for s in shapes if s}
+            own[host, path, "s"]["n"].update(seen)
+            shown[host, path, "s"] += bool(seen)
+        for path, texts in o.texts.items():
+            seen = {x.strip() for t in texts for x in t.split(".") if x.strip()}
+            own[host, path, "t"]["n"].update(seen)
+            every[path].update(seen)
+            shown[host, path, "t"] += bool(seen)
+            shown_all[path] += bool(seen)
+    log, out = np.log, {}
+    scale = lambda m: 1 - 1 / np.log2(max(m, 2.5))
+    content = lambda c, m: (1 - np.mean([log(n) for n in c.values()]) / log(m)) / scale(m)
+    for (host, path, kind), found in own.items():
+        m, c = shown[host, path, kind], found["n"]
+        if not m:
+            continue
+        if kind == "s":
+            share = np.array(list(c.values())) / sum(c.values())
+            out[host, path, kind] = 1.0 if m < 2 else -(share * log(share)).sum() / log(m)
+        else:
+            pooled = content(every[path], shown_all[path]) if shown_all[path] >= 20 else 1.0
+            out[host, path, kind] = min(content(c, m) if m >= 4 else 1.0, pooled)
+    return out
+
+
+def test_style_tree_equals_brute_force(spark):
+    """Hosts of one to thirty pages, with copies: every node's importance, and what is cut on each page."""
+    rng, pages = random.Random(31), []
+    for h, n in enumerate((1, 2, 3, 5, 9, 30)):
+        for i in range(n):
+            story = "".join(f"<p>story {h} {i} {k}. part {rng.randrange(10**6)}</p>" for k in range(rng.randint(1, 4)))
+            links = "".join(f"<li>link {rng.randrange(5)}</li>" for _ in range(rng.randint(2, 3)))
+            page = f"<html><body><ul>{links}</ul><div class=box>Sale {rng.randrange(6)}. Buy now</div><div class=story>Read on{story}</div><div>tail {h}</div></body></html>"
+            pages += [(f"h{h}.example", page)] * rng.randint(1, 3)
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    want = brute_importance(pages)
+    keys = {}
+    for path in {p for _, p, _ in want}:
+        key = html_text._hash("#root")
+        for label in path.split("/")[1:]:
+            key = html_text._hash(f"{key}/{label}")
+        keys[path] = key
+    got = {(r.host, r.node, r.kind): r.importance for r in html_text.importance(html_text.style_tree(frame), min_pooled=20).collect()}
+    assert got.keys() == {(h, keys[p], k) for h, p, k in want}
+    assert all(abs(got[h, keys[p], k] - v) < 1e-9 for (h, p, k), v in want.items())
+    texts = {r.page_id: (r.text, r.n_pruned) for r in html_text.extract(frame, min_pooled=20, bound=0.7).collect()}
+    for i, (host, page) in enumerate(pages):
+        o = Outline(page)
+        blocks = [(p, t) for p, found in o.texts.items() for t in found if t]
+        left = [t for p, t in blocks if want[host, p, "t"] >= 0.7]
+        assert sorted(texts[i][0].split("\n\n")) == sorted(left), page
+        assert (texts[i][1] > 0) == (len(left) < len(blocks))
+
+
+def test_the_tree_decides_by_itself(spark):
+    """Without any list of elements or names the same texts come out, and every page loses branches to the tree."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    both = {r.page_id: (r.text, r.n_pruned) for r in html_text.extract(pages).collect()}
+    tree = {r.page_id: r.text for r in html_text.extract(pages, declared=False).collect()}
+    assert all(n > 0 for _, n in both.values())
+    assert tree == {k: t for k, (t, _) in both.items()}
+    raw = {r.page_id: r.text for r in html_text.extract(pages, bound=-1, declared=False).collect()}
+    article = re.compile(r"<article>(.*)</article>", re.S)
+    for r in pages.collect():
+        want = html_text.page_text(html_text.parse(article.search(r.html)[1]))
+        assert tree[r.page_id] == want != raw[r.page_id]
+
+
+def test_unique_stories_stay(spark):
+    """A static caption goes, the stories below it stay; names only count as a whole."""
+    page = '<html><body><div class="story">Read on<p>Story %d is unique.</p></div><div class="x">other %d</div></body></html>'
+    pages = [(i, f"http://h.example/{i}", page % (i, i * 7)) for i in range(8)] + [(8, "http://s.example", '<div class="side-effects"><p>An article</p></div><div class="ad-box">Buy</div><div class="relatedPosts">More</div>')]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i} is unique.\n\nother {i * 7}" for i in range(8)) and found[8] == "An article"
+
+
+def test_pages_of_odd_tables(spark):
+    long = "<p>" + "".join(f"word{i} " for i in range(200_000)) + "</p>"
+    rows = [(1, "http://a.example", long, "k"), (1, "http://a.example", long, "k"), (None, None, "<p>x</p>", None), (2, "", "<div>" * 3000 + "y", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, nodes string").withColumns({"host": F.lit(1), "text": F.lit("t"), "found": F.lit(2)})
+    got = html_text.extract(pages, key_cols=("page_id", "url", "nodes", "host", "text"), url_col="url")
+    assert [len(r[5]) for r in got.where("page_id = 1").collect()] == [len(long) - 8] * 2
+    assert sorted(r[5] for r in got.where("page_id IS NULL OR page_id = 2").collect()) == ["x", "y"]
 
 
 def test_deep_pages_do_not_recurse():
-    assert html_text.page_text(html_text.parse("<div>" * 20_000 + "x" + "</div>" * 20_000), set()) == "x"
+    assert html_text.page_text(html_text.parse("<div>" * 20_000 + "x" + "</div>" * 20_000)) == "x"
 
 
 # archives
