@@ -640,6 +640,11 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def split_found(found):
+    found = list(found)
+    return [r for r in found if isinstance(r, warc.Record)], [g for g in found if isinstance(g, warc.Gap)]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     raws = [warc.record_bytes(i, "u", f"payload {i}".encode() * 50, None) for i in range(6)]
@@ -647,18 +652,100 @@ def test_salvage(packed):
     damaged = bytearray(parts[2])
     damaged[len(damaged) // 2] ^= 0xFF
     data = b"junk" + parts[0] + parts[1] + bytes(damaged) + parts[3] + parts[4][: len(parts[4]) // 2] + parts[5] + b"\x1f\x8b\x08tail"
-    records, gaps = warc.salvage(data)
-    assert [h["warc-record-id"] for _, h, _ in records] == [f"<urn:page:{i}>" for i in (0, 1, 3, 5)]
+    records, gaps = split_found(warc.salvage(data))
+    assert [r.headers["warc-record-id"] for r in records] == [f"<urn:page:{i}>" for i in (0, 1, 3, 5)]
     assert [(g.start, g.end) for g in gaps][0] == (0, 4) and len(gaps) == 4
     assert sum(g.end - g.start for g in gaps) + sum(len(parts[i]) for i in (0, 1, 3, 5)) == len(data)
 
 
-def test_long_records_use_several_members(monkeypatch):
-    monkeypatch.setattr(warc, "_MEMBER_LIMIT", 200)
-    raw = warc.record_bytes(1, "u", bytes(range(256)) * 4, None)
-    data = b"".join(warc._member(raw[i : i + 199]) for i in range(0, len(raw), 199))
-    records, gaps = warc.salvage(data + warc._member(warc.record_bytes(2, "v", b"x", None)))
-    assert [h["warc-record-id"] for _, h, _ in records] == ["<urn:page:1>", "<urn:page:2>"] and not gaps
+def foreign(kind, body, content_type="application/http", **more):
+    block = (warc.HTTP_HEAD if content_type == "application/http" else b"") + body
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:page:7>", f"Content-Type: {content_type}", *[f"{k.replace('_', '-')}: {v}" for k, v in more.items()], f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_every_skipped_byte_is_logged(spark, tmp_path):
+    """Foreign digests are checked or left alone, wrong ones are gaps, and all bytes are accounted for, through Spark."""
+    body = b"hello world"
+    good = [foreign("response", body, WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest()), foreign("response", body, WARC_Payload_Digest="blake3:abc"), foreign("resource", body, "text/plain"), foreign("revisit", b"", WARC_Payload_Digest="sha1:ABC"), foreign("response", body, WARC_Block_Digest="md5:" + hashlib.md5(warc.HTTP_HEAD + body).hexdigest())]
+    bad = [foreign("response", body, WARC_Payload_Digest="sha256:" + "0" * 64), foreign("response", body, WARC_Payload_Digest="sha1:" + "A" * 32), foreign("response", body, WARC_Block_Digest="sha1:" + "A" * 32), b"WARC/1.0\r\nno: headers\r\n\r\n", b"\r\n\r\n"]
+    for name, pack in (("plain", lambda r: r), ("packed", gzip.compress)):
+        at, want = 0, []
+        with open(tmp_path / f"{name}.warc", "wb") as out:
+            for g, b in zip(good, bad, strict=True):
+                for raw, ok in ((g, True), (b, False)):
+                    out.write(pack(raw))
+                    want.append((ok, at, at + len(pack(raw))))
+                    at += len(pack(raw))
+    read = warc.read(spark, f"file://{tmp_path}").collect()
+    for name in ("plain", "packed"):
+        own = sorted((r for r in read if name in r.file), key=lambda r: r.at)
+        assert [(r.record_type, r.payload_bytes) for r in own] == [("response", 11), ("response", 11), ("resource", 11), ("revisit", None), ("response", 11)]
+        assert all(r.payload_digest == warc.digest32(body) for r in own if r.record_type != "revisit") and own[3].payload_digest == "ABC"
+    gaps = {r.start: (r.end, r.reason) for r in warc.gaps(spark, f"file://{tmp_path}").where("file LIKE '%packed%'").collect()}
+    assert {s: e for s, (e, _) in gaps.items()} == {s: e for ok, s, e in want if not ok}
+    assert [r for _, (_, r) in sorted(gaps.items())][:3] == ["bad payload digest", "bad payload digest", "bad block digest"]
+
+
+def test_several_records_in_a_member():
+    raws = [warc.record_bytes(i, "u", bytes([i]) * 5000, None) for i in range(40)]
+    records, gaps = split_found(warc.salvage(gzip.compress(b"".join(raws)) + gzip.compress(b"") + gzip.compress(raws[0]), keep=True))
+    assert [r.payload for r in records] == [bytes([i]) * 5000 for i in range(40)] + [bytes([0]) * 5000] and [g.reason for g in gaps] == ["empty member"]
+
+
+def members(data):
+    """The contents of a file's gzip members, by Python's library alone."""
+    while data:
+        z = zlib.decompressobj(31)
+        yield z.decompress(data) + z.flush()
+        data = z.unused_data
+
+
+def test_long_records_are_one_member(spark, tmp_path):
+    """Records above 16 MiB, last and not last in a run, as other readers see the files, and as this one does."""
+    text = "".join(chr(33 + i * i % 89) for i in range(20_000))
+    rows = [(0, "u", "short"), (1, "u", text * 1000), (2, "u", "after"), (3, "u", text * 1100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/long"
+    warc.write(pages, path, run_bytes=1 << 30)
+    contents = [c for f in sorted((tmp_path / "long").glob("part-*")) for c in members(f.read_bytes())]
+    assert [len(re.findall(rb"^WARC/1.1\r$", c, re.M)) for c in contents] == [1] * 5 and b"warcinfo" in contents[-1]
+    got = {r.page_id: r for r in warc.read(spark, path, payloads=True).where("page_id IS NOT NULL").collect()}
+    assert all(bytes(got[i].payload) == html.encode() and got[i].payload_bytes == len(html) for i, _, html in rows)
+    assert warc.gaps(spark, path).count() == 0 and warc.round_trip(pages).count() == 4
+
+
+def test_reading_takes_linear_time():
+    rng = random.Random(2)
+    one = gzip.compress(warc.record_bytes(1, "u", rng.randbytes(1500), None))
+    took = []
+    for n in (4000, 8000):
+        data, at = one * n, time.process_time()
+        assert sum(1 for _ in warc.salvage(data)) == n
+        took.append(time.process_time() - at)
+    broken = (one[:-9] + b"x" * 9) * 8000
+    at = time.process_time()
+    assert len(list(warc.salvage(broken))) == 1
+    assert took[1] < 3 * took[0] and time.process_time() - at < 10 * took[1]
+
+
+def test_archives_of_all_pages(spark, sf_dir):
+    """The query against expected rows: digests by hashlib, copies by a dictionary."""
+    pages = table(spark, sf_dir, "pages").collect()
+    largest = {}
+    for p in pages:
+        largest[p.html or ""] = max(largest.get(p.html or "", -1), p.page_id)
+    want = {}
+    for p in pages:
+        raw, top = (p.html or "").encode(), largest[p.html or ""]
+        want[p.page_id] = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if top == p.page_id else "revisit", None if top == p.page_id else top)
+    assert {r[0]: tuple(r)[1:] for r in queries.op4_warc(spark, sf_dir).collect()} == want
+
+
+def test_repeated_largest_ids(spark):
+    rows = [(5, "a", "x"), (5, "b", "x"), (4, "c", "x"), (4, "c", "x"), (1, None, "y")]
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {(5, "response", None): 2, (4, "revisit", 5): 2, (1, "response", None): 1}
 
 
 # the pipeline
