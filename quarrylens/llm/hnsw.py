@@ -2,8 +2,13 @@
 
 Distinct vectors are dealt to shards by hash.  Each shard builds a hierarchical navigable small-world
 graph and stores it as flat arrays (one neighbour array for each layer, fixed width, -1 for none) in a row
-of a table, so an index can be written once and searched often.  Queries are dealt in blocks against all
-shards; shard results are merged by exact distance.
+of a table, so an index can be written once and searched often.  A shard is small enough to compare its vectors in
+blocks of matrix products, so each node's candidates on a layer are its true nearest ones there; from them
+neighbours are chosen by diversity, and links go both ways.
+
+Queries are packed into blocks, and every block goes to every shard: queries move, not the index (which is copied only
+once for each ``QUERY_BLOCK`` queries).  All queries of a block walk a shard's graph in step, one expansion each at a
+time.  Shard results, at most k a query, are merged by exact distance.
 
 Copies of one vector are one node that carries the smallest ids of its copies: more of them than a query
 can return (k, and one for the query itself) can never show in a result.  Spark limits each group to that
@@ -13,13 +18,14 @@ than others.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 neither as candidates nor as queries, and rows with a null id neither; vectors of different length are
 never compared; fewer candidates than k give all of them; ties in distance go to the smaller id; a repeated
-id is a candidate for other ids as often as it has distinct vectors; an empty table gives no rows.
+id is a candidate for other ids as often as it has distinct vectors, and a query for each of them; repeated rows are
+one query; an empty table gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,8 +37,10 @@ from .common import staged
 M = 16
 EF_BUILD = 64
 EF_SEARCH = 96
-SHARD_SIZE = 2048
-QUERY_BLOCK = 512
+SHARD_SIZE = 16384
+QUERY_BLOCK = 4096
+#: Queries that walk in step, rows that are compared in one product, and expansions of a query at a time.
+STEP, ROWS, WIDE = 256, 512, 3
 K = 10
 
 
@@ -49,106 +57,147 @@ class Graph:
         self.x, self.layers, self.members, self.entry = x, layers, members, entry
         self.norm = np.einsum("ij,ij->i", x, x)
 
-    def _near(self, q: np.ndarray, qn: float, rows: np.ndarray) -> np.ndarray:
-        return self.norm[rows] - 2 * (self.x[rows] @ q) + qn
-
-    def search_layer(self, q: np.ndarray, qn: float, entries: list[tuple[float, int]], ef: int, layer: int, seen: np.ndarray, mark: int) -> list[tuple[float, int]]:
-        """The ``ef`` nearest found, as (distance, row)."""
-        links = self.layers[layer]
-        best = [(-d, r) for d, r in entries]
-        heapq.heapify(best)
-        open_ = list(entries)
-        heapq.heapify(open_)
-        for _, r in entries:
-            seen[r] = mark
-        while open_:
-            d, r = heapq.heappop(open_)
-            if d > -best[0][0] and len(best) >= ef:
-                break
-            rows = links[r]
-            rows = rows[rows >= 0]
-            rows = rows[seen[rows] != mark]
-            if not len(rows):
-                continue
-            seen[rows] = mark
-            near = self._near(q, qn, rows)
-            if len(best) >= ef:
-                ok = near < -best[0][0]
-                rows, near = rows[ok], near[ok]
-            for dist, row in zip(near.tolist(), rows.tolist(), strict=True):
-                if len(best) < ef or dist < -best[0][0]:
-                    heapq.heappush(open_, (dist, row))
-                    heapq.heappush(best, (-dist, row))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return [(-d, r) for d, r in best]
-
-    def search(self, q: np.ndarray, ef: int, seen: np.ndarray, mark: int) -> tuple[list[tuple[float, int]], int]:
-        qn = float(q @ q)
-        found = [(float(self._near(q, qn, np.array([self.entry]))[0]), self.entry)]
+    def _near(self, q: np.ndarray, qn: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Squared distances of each query to its own rows (-1: infinite)."""
+        near = self.norm[rows] - 2 * np.einsum("qcd,qd->qc", self.x[rows], q) + qn[:, None]
+        return np.where(rows >= 0, near, np.inf)
+
+    def search(self, q: np.ndarray, ef: int) -> np.ndarray:
+        """The ``ef`` nearest rows found for each query, -1 for none."""
+        n_q, qn = len(q), np.einsum("ij,ij->i", q, q)
+        best = np.full((n_q, 1), self.entry)
+        every = np.arange(n_q)
         for layer in range(len(self.layers) - 1, 0, -1):
-            found = [min(self.search_layer(q, qn, found, 1, layer, seen, mark))]
-            mark += 1
-        return self.search_layer(q, qn, found, ef, 0, seen, mark), mark + 1
-
-
-def _diverse(x: np.ndarray, norm: np.ndarray, found: list[tuple[float, int]], m: int) -> list[int]:
-    """Up to ``m`` of the nearest, each nearer to the new node than to those chosen before; then the nearest left over."""
-    found = sorted(found)
-    rows = np.array([r for _, r in found])
-    own = x[rows]
-    between = norm[rows][:, None] + norm[rows][None] - 2 * (own @ own.T)
-    chosen: list[int] = []
-    for i, (d, _) in enumerate(found):
-        if len(chosen) == m:
-            break
-        if not chosen or d < between[i, chosen].min():
-            chosen.append(i)
-    for i in range(len(found)):
-        if len(chosen) == m:
-            break
-        if i not in chosen:
-            chosen.append(i)
-    return rows[chosen].tolist()
+            near = self._near(q, qn, best)[:, 0]
+            while True:  # step to the nearest neighbour as long as it is nearer
+                rows = self.layers[layer][best[:, 0]]
+                dist = self._near(q, qn, rows)
+                at = dist.argmin(1)
+                better = dist[every, at] < near
+                if not better.any():
+                    break
+                best[better, 0] = rows[every, at][better]
+                near = np.where(better, dist[every, at], near)
+        links = self.layers[0]
+        ef = min(ef, len(self.x))
+        seen = np.zeros((n_q, len(self.x) + 1), bool)  # the last column takes the absent neighbours
+        found, near, done = np.full((n_q, ef), -1), np.full((n_q, ef), np.inf), np.zeros((n_q, ef), bool)
+        found[:, :1], near[:, :1] = best, self._near(q, qn, best)
+        seen[every, best[:, 0]] = True
+        active = every
+        while len(active):
+            # the nearest rows not yet expanded; a query is through when all of its ef best are
+            open_ = np.where(done[active], np.inf, near[active])
+            wide = min(WIDE, ef)
+            at = np.argpartition(open_, wide - 1, axis=1)[:, :wide]
+            take = np.take_along_axis(open_, at, 1) < np.inf
+            going = take.any(1)
+            active, at, take = active[going], at[going], take[going]
+            if not len(active):
+                break
+            done[active[:, None], at] |= take
+            rows = np.where(take[:, :, None], links[found[active[:, None], at]], -1).reshape(len(active), -1)
+            rows.sort(1)
+            rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1
+            rows[seen[active[:, None], rows]] = -1
+            seen[active[:, None], rows] = True
+            seen[:, -1] = False
+            dist = self._near(q[active], qn[active], rows)
+            pool, pool_near = np.concatenate([found[active], rows], 1), np.concatenate([near[active], dist], 1)
+            pool_done = np.concatenate([done[active], np.zeros(rows.shape, bool)], 1)
+            keep = np.argpartition(pool_near, ef - 1, axis=1)[:, :ef]
+            found[active], near[active], done[active] = (np.take_along_axis(v, keep, 1) for v in (pool, pool_near, pool_done))
+        return np.where(near < np.inf, found, -1)
+
+
+def _candidates(x: np.ndarray, members: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member its ``ef`` nearest other members (all, if fewer), nearest first, as positions, and squared distances."""
+    own = x[members]
+    norm = np.einsum("ij,ij->i", own, own)
+    n, k = len(members), min(ef, len(members) - 1)
+    near, dist = np.empty((n, k), np.int64), np.empty((n, k))
+    for at in range(0, n, ROWS):
+        d = norm[at : at + ROWS, None] + norm[None] - 2 * (own[at : at + ROWS] @ own.T)
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        part = np.argpartition(d, k - 1, axis=1)[:, :k]
+        order = np.lexsort((part, np.take_along_axis(d, part, 1)))
+        near[at : at + ROWS] = np.take_along_axis(part, order, 1)
+        dist[at : at + ROWS] = np.take_along_axis(d, near[at : at + ROWS], 1)
+    return near, dist
+
+
+def _diverse(x: np.ndarray, near: np.ndarray, dist: np.ndarray, m: int) -> np.ndarray:
+    """For each row up to ``m`` of its candidates (rows of ``x``, nearest first, -1: none): those nearer to it than to any chosen before, then the nearest left over."""
+    out = np.full((len(near), m), -1, np.int64)
+    for at in range(0, len(near), ROWS):
+        c, d = near[at : at + ROWS], dist[at : at + ROWS]
+        v = x[c]
+        norm = np.einsum("qcd,qcd->qc", v, v)
+        between = norm[:, :, None] + norm[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+        closest = np.full(c.shape, np.inf)  # to what is chosen so far
+        rank = np.full(c.shape, 2, np.int64)  # 0 chosen, 1 left over, 2 none
+        count = np.zeros(len(c), np.int64)
+        for j in range(c.shape[1]):
+            there = c[:, j] >= 0
+            good = there & (d[:, j] < closest[:, j]) & (count < m)
+            rank[:, j] = np.where(good, 0, np.where(there, 1, 2))
+            count += good
+            closest = np.where(good[:, None], np.minimum(closest, between[:, :, j]), closest)
+        order = np.argsort(rank, axis=1, kind="stable")[:, :m]
+        picked = np.where(np.take_along_axis(rank, order, 1) < 2, np.take_along_axis(c, order, 1), -1)
+        out[at : at + ROWS, : picked.shape[1]] = picked
+    return out
+
+
+def _links(x: np.ndarray, members: np.ndarray, m: int, ef: int, width: int) -> np.ndarray:
+    """Neighbours of each member of a layer as rows of ``x``: ``m`` chosen by diversity, then those that chose it, cut to ``width`` by diversity."""
+    n = len(members)
+    if n < 2:
+        return np.full((n, width), -1, np.int64)
+    near, dist = _candidates(x, members, ef)
+    chosen = _diverse(x[members], near, dist, m)
+    a, j = np.nonzero(chosen >= 0)
+    b = chosen[a, j]
+    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))  # both ways
+    a, b = pairs // n, pairs % n
+    gap = x[members[a]] - x[members[b]]
+    d = np.einsum("ij,ij->i", gap, gap)
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    starts = np.searchsorted(a, np.arange(n + 1))
+    count = np.diff(starts)
+    out = np.full((n, width), -1, np.int64)
+    place = np.arange(len(a)) - starts[a]
+    few = count <= width
+    ok = few[a]
+    out[a[ok], place[ok]] = b[ok]
+    many = np.flatnonzero(~few)
+    # nodes that many chose, by size, so that a hub's long list pads no other
+    for at in range(0, len(many), ROWS):
+        some = many[np.argsort(count[many], kind="stable")][at : at + ROWS]
+        longest = min(int(count[some].max()), 8 * width)  # beyond that only the farthest candidates fall away
+        c, dd = np.full((len(some), longest), -1, np.int64), np.full((len(some), longest), np.inf)
+        for i, r in enumerate(some.tolist()):
+            own = slice(starts[r], min(starts[r + 1], starts[r] + longest))
+            c[i, : own.stop - own.start], dd[i, : own.stop - own.start] = b[own], d[own]
+        out[some] = _diverse(x[members], c, dd, width)
+    return np.where(out >= 0, members[out], -1)
 
 
 def build(x: np.ndarray, m: int = M, ef: int = EF_BUILD, seed: int = 3) -> Graph:
-    """Insert rows one by one; a node's top layer falls geometrically."""
+    """The graph over all rows; a node's top layer falls geometrically."""
     n = len(x)
     rng = np.random.default_rng(seed)
     tops = np.minimum((-np.log(1 - rng.random(n)) / np.log(m)).astype(int), 8)
-    order = np.argsort(-tops, kind="stable")  # layers are filled from the top, so the entry never changes
-    layers = [np.full((n, 2 * m if layer == 0 else m), -1, np.int32) for layer in range(int(tops.max()) + 1)]
-    degree = [np.zeros(n, np.int32) for _ in layers]
-    graph = Graph(x, layers, [], int(order[0]))
-    seen, mark = np.zeros(n, np.int64), 1
-    for r in order[1:].tolist():
-        q = x[r]
-        qn = float(graph.norm[r])
-        found = [(float(graph._near(q, qn, np.array([graph.entry]))[0]), graph.entry)]
-        for layer in range(len(layers) - 1, -1, -1):
-            here = ef if layer <= tops[r] else 1
-            found = graph.search_layer(q, qn, found, here, layer, seen, mark)
-            mark += 1
-            if layer > tops[r]:
-                found = [min(found)]
-                continue
-            links, width = layers[layer], layers[layer].shape[1]
-            for other in _diverse(x, graph.norm, found, m):
-                links[r, degree[layer][r]] = other
-                degree[layer][r] += 1
-                if degree[layer][other] < width:
-                    links[other, degree[layer][other]] = r
-                    degree[layer][other] += 1
-                else:
-                    rows = np.append(links[other], r)
-                    near = graph._near(x[other], float(graph.norm[other]), rows)
-                    kept = _diverse(x, graph.norm, list(zip(near.tolist(), rows.tolist(), strict=True)), width)
-                    links[other] = -1
-                    links[other, : len(kept)] = kept
-                    degree[layer][other] = len(kept)
-    graph.members = [np.flatnonzero(tops >= layer) for layer in range(len(layers))]
-    return graph
+    layers, members = [], []
+    for layer in range(int(tops.max()) + 1):
+        own = np.flatnonzero(tops >= layer)
+        width = 2 * m if layer == 0 else m
+        full = np.full((n, width), -1, np.int32)
+        full[own] = _links(x, own, m, ef, width)
+        layers.append(full)
+        members.append(own)
+    return Graph(x, layers, members, int(np.argmax(tops)))
 
 
 def exact_distances(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -157,7 +206,7 @@ def exact_distances(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.reduce(d * d, axis=1))
 
 
-INDEX_SCHEMA = "shard bigint, dim int, n int, ids binary, first binary, copies binary, vectors binary, layers array<binary>, entry int"
+INDEX_SCHEMA = "shard int, dim int, n int, ids binary, first binary, copies binary, vectors binary, layers array<binary>, entry int"
 
 
 def pack_graph(shard: int, ids: list[list[int]], x: np.ndarray, graph: Graph) -> dict:
@@ -194,7 +243,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, keep: int
 def index(vectors: DataFrame, n_shards: int, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", m: int = M, ef: int = EF_BUILD) -> DataFrame:
     """One row for each shard and vector length: the graph as flat arrays (``INDEX_SCHEMA``)."""
     rows = distinct_vectors(vectors, id_col, vector_col, k + 1)
-    dealt = rows.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(n_shards)))
+    dealt = rows.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(n_shards)).cast("int"))
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
         ids = [sorted(map(int, i)) for i in group["ids"]]
@@ -205,46 +254,49 @@ def index(vectors: DataFrame, n_shards: int, k: int = K, id_col: str = "vec_id",
     return dealt.groupBy("shard", "dim").applyInPandas(make, INDEX_SCHEMA)
 
 
-def search_shard(row: dict, queries: pd.DataFrame, k: int, ef: int) -> Iterator[tuple[int, int, int, float]]:
-    """(query row, query id, candidate id, distance) of the k nearest in one shard."""
-    graph, ids, first, copies = unpack_graph(row)
-    seen, mark = np.zeros(row["n"], np.int64), 1
-    for at, (qid, vector) in enumerate(zip(queries["id"].tolist(), queries["vector"], strict=True)):
-        q = np.asarray(vector, np.float64)
-        found, mark = graph.search(q, max(ef, k + 1), seen, mark)
-        rows = np.array([r for _, r in found])
-        dist = exact_distances(q, graph.x[rows])
-        out = []
-        for d, r in sorted(zip(dist.tolist(), rows.tolist(), strict=True))[: k + 1]:
-            out += [(d, int(v)) for v in ids[first[r] : first[r] + copies[r]] if v != qid]
-        for d, v in sorted(out)[:k]:
-            yield at, qid, v, d
+def search_shard(row: dict, ids: np.ndarray, vectors: np.ndarray, k: int, ef: int) -> Iterator[tuple[int, int, float]]:
+    """(place among the queries, candidate id, distance) of the k nearest in one shard."""
+    graph, own, first, copies = unpack_graph(row)
+    for at in range(0, len(ids), STEP):
+        found = graph.search(vectors[at : at + STEP], max(ef, k + 1))
+        for i, rows in enumerate(found, at):
+            rows = rows[rows >= 0]
+            dist = exact_distances(vectors[i], graph.x[rows])
+            out = []
+            for d, r in sorted(zip(dist.tolist(), rows.tolist(), strict=True)):
+                if len(out) >= k and d > out[-1][0]:
+                    break
+                out += [(d, v) for v in own[first[r] : first[r] + copies[r]].tolist() if v != ids[i]]
+            for d, v in sorted(out)[:k]:
+                yield i, v, d
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARCH, block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, itself left out."""
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    q = q.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
-    total = q.count()
-    n_blocks = max(1, -(-total // block))
-    q = q.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(n_blocks)).cast("int"))
+    q = q.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    q = q.dropDuplicates(["id", "vector"]).withColumn("dim", F.size("vector"))
+    n_blocks = max(1, -(-q.count() // block))
+    shards = indexed.select(F.max("shard").alias("top")).first()["top"]
     # every block meets every shard once: the stated queries against all rows, in blocks
-    tasks = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    shards = indexed.select(F.col("shard").alias("q_shard"), F.col("dim").alias("q_dim"))
-    left = q.join(shards, F.col("dim") == F.col("q_dim")).select("q_shard", "q_dim", F.col("block").alias("q_block"), "id", "vector")
-    left = left.repartition("q_shard", "q_dim", "q_block")  # not by dimension alone, which is one key
-    out = "query_id bigint, qrow string, vec_id bigint, score double"
+    dealt = q.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(n_blocks)).cast("int")).withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))
+    left = dealt.repartition("q_shard", "dim", "block")
+    right = indexed.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition("shard", "dim", "r_block")
+    # a query is its id and its whole vector
+    out = "query_id bigint, query binary, vec_id bigint, score double"
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "qrow": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "qrow": "str"})
-        found = list(search_shard(b.iloc[0].to_dict(), a, k, ef))
-        keys = [np.asarray(v, np.float64).tobytes().hex()[:32] for v in a["vector"]]
-        return pd.DataFrame([(qid, keys[at], v, d) for at, qid, v, d in found], columns=["query_id", "qrow", "vec_id", "score"])
-
-    near = left.groupBy("q_shard", "q_dim", "q_block").cogroup(tasks.groupBy("shard", "dim", "block")).applyInPandas(run, out)
-    order = Window.partitionBy("query_id", "qrow").orderBy("score", "vec_id")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        ids, vectors = a["id"].to_numpy(), np.stack(a["vector"].to_numpy()).astype(np.float64)
+        found = list(search_shard(b.iloc[0].to_dict(), ids, vectors, k, ef))
+        at, near, dist = (np.array([f[i] for f in found], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        keys = [blake2b(v.tobytes(), digest_size=32).digest() for v in vectors]
+        return pd.DataFrame({"query_id": ids[at], "query": [keys[i] for i in at], "vec_id": near, "score": dist})
+
+    near = left.groupBy("q_shard", "dim", "block").cogroup(right.groupBy("shard", "dim", "r_block")).applyInPandas(run, out)
+    order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -467,10 +467,56 @@ def test_neighbours_recall_and_ties(spark):
 def test_graph_survives_packing():
     x = np.random.default_rng(2).normal(size=(300, 8))
     row = hnsw.pack_graph(0, [[i] for i in range(300)], x, hnsw.build(x))
-    found = list(hnsw.search_shard(row, pd.DataFrame({"id": [5], "vector": [x[5]]}), 10, 64))
+    found = list(hnsw.search_shard(row, np.array([5]), x[5:6], 10, 64))
     d = hnsw.exact_distances(x[5], x)
     d[5] = np.inf
-    assert len({v for _, _, v, _ in found} & set(np.argsort(d)[:10].tolist())) >= 9
+    assert len({v for _, v, _ in found} & set(np.argsort(d)[:10].tolist())) >= 9
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 11, 40])
+def test_small_graphs_are_exact(n):
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    found = hnsw.build(x).search(x, 96)
+    assert all(sorted(r[r >= 0].tolist()) == list(range(n)) for r in found)
+
+
+def test_links_go_between_true_neighbours():
+    x = np.random.default_rng(4).normal(size=(700, 6))
+    near, dist = hnsw._candidates(x, np.arange(700), 20)
+    for i in range(0, 700, 50):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert near[i].tolist() == np.argsort(d, kind="stable")[:20].tolist() and np.allclose(dist[i], np.sort(d)[:20])
+    links = hnsw.build(x).layers[0]
+    assert ((links >= 0).sum(1) >= 2).all() and (links != np.arange(700)[:, None]).all()
+
+
+@pytest.mark.parametrize("shard_size", [300, hnsw.SHARD_SIZE])
+def test_recall_on_embeddings(spark, shard_size):
+    """All rows are indexed; the rows whose id is divisible by 20 are searched and compared with brute force."""
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    found = hnsw.nearest(vectors, 20, shard_size=shard_size)
+    rows = vectors.toPandas()
+    assert hnsw.recall(found, rows) >= 0.98
+    place = {v: np.asarray(e, np.float64) for v, e in zip(rows["vec_id"], rows["embedding"], strict=True)}
+    got = found.toPandas()
+    assert (got.groupby("query_id").size() == 10).all()
+    for r in got.itertuples():
+        d = place[r.query_id] - place[r.vec_id]
+        assert r.score == np.sqrt(np.add.reduce(d * d))
+    order = got.sort_values(["query_id", "score", "vec_id"], kind="stable")
+    assert (order.groupby("query_id").cumcount() + 1 == order["rank"]).all()
+
+
+def test_an_id_with_two_vectors_is_two_queries(spark):
+    rows = [(100, [1.0, 2.0, 3.0, 4.0]), (100, [1.0, 2.0, 9.0, 9.0]), (100, [1.0, 2.0, 9.0, 9.0])] + [(i, [float(i), 1.0, 0.5, i / 3]) for i in range(1, 30)] + [(200, [1.0, 2.0]), (300, [3.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"dim": F.lit(9), "block": F.lit(1), "query": F.lit("q")})
+    found = hnsw.nearest(vectors, 100).toPandas()
+    assert collections.Counter(found["query_id"]) == {100: 20, 200: 1, 300: 1}
+    want = []
+    for q in (rows[0][1], rows[1][1]):
+        want += sorted((float(np.sqrt(((np.array(q) - np.array(v)) ** 2).sum())), i) for i, v in rows[3:32])[:10]
+    assert sorted(zip(found["score"][found["query_id"] == 100].round(9), found["vec_id"][found["query_id"] == 100], strict=True)) == sorted((round(d, 9), i) for d, i in want)
 
 
 # pages
