@@ -39,6 +39,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` for an aggregated ``right``: joined on the key and its hash, both sides are dealt anew.
+
+    Without that, an aggregate that is already dealt by the key keeps its place, and Spark cannot split a hot key of the other side.
+    """
+    marked = right.withColumnRenamed(key, "__key")
+    return left.join(marked, (F.xxhash64(key) == F.xxhash64("__key")) & (F.col(key) == F.col("__key")), how).drop("__key")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system (any store)."""
     jvm = spark._jvm

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is an aggregation (combined before the shuffle) and an equi-join whose hot keys Spark's
-adaptive execution splits; no neighbour list is ever gathered.  Each round is written to the shared
+Every step is an aggregation (combined before the shuffle) and an equi-join that is dealt anew, so that
+adaptive execution splits the edges of a hub; no neighbour list is ever gathered.  Each round is written to the shared
 folder, so the lineage stays short and a lost executor costs at most one round.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import split_join, staged
 
 MAX_ROUNDS = 40
 
@@ -21,10 +21,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # a's larger neighbours are those that name it as their smaller one
-        out = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = split_join(edges.select(F.col("b").alias("a"), F.col("a").alias("v")), least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = split_join(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

@@ -3,22 +3,23 @@
 1. One pass over the texts makes, per document, the set of its word shingles, ``bands * rows`` minima,
    the bands' keys, and a packed signature of the low ``b`` bits of all minima.  Documents with equal
    sets collapse to one node.
-2. Documents that share a band key are candidates.  Each bucket is kept as a star to one member, and the
-   components of all stars are blocks: every candidate pair lies inside one block.
-3. Inside blocks, signatures estimate each pair's similarity by bit counts, corrected for chance
-   agreement; pairs that may reach the threshold are confirmed on full sets.  Only a spanning forest of
-   the confirmed links leaves a task, never all pairs of a group.
-4. Blocks above ``part_size`` nodes are dealt to parts, each with the block's hub (the node with most
-   bucket mates) beside it.  What is linked to the hub needs no further test among itself; the rest is
-   tested, in blocks, against every part, so no link is lost whatever the size.
+2. Documents that share a band key are candidates.  Each bucket's members are compared with its leader (the
+   smallest node) by b-bit signatures: bit counts, corrected for chance agreement.  Members whose estimate falls
+   short of the leader's are compared with all members of the bucket, in blocks.  Only a spanning forest of the
+   pairs that pass leaves a task, never all pairs of a group.
+3. The components of what passed are blocks: every link lies inside one, and documents that share
+   phrases but are not alike do not chain into it.
+4. Inside blocks the pairs that pass the signatures are confirmed on full sets.  Blocks above ``part_size`` nodes
+   are dealt to parts, each with the block's hub (the node in most pairs) beside it.  What is linked to the hub needs
+   no further test among itself; the rest is tested, in blocks, against every part, so no link is lost whatever the size.
 5. The components of all links give every document its class: the smallest ``doc_id`` in it.
 
 With 26 bands of 5 rows a pair of similarity 0.85 shares no band with probability 2.4e-7.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with
 fewer words than a shingle the whole sequence is the only element; rows with a null ``doc_id`` take no part
-and come back with a null class and kept; repeated rows get the same class; an empty table gives an empty
-result; other columns are not carried.
+and come back with a null class and kept; repeated rows get the same class, and an id with several texts is linked by
+each; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import split_join, staged
 from .components import components
 
 BANDS, ROWS, B = 26, 5, 4
@@ -175,7 +176,12 @@ def pack_bits(minima: np.ndarray, b: int) -> np.ndarray:
 
 def estimate(one: np.ndarray, others: np.ndarray, n_hashes: int, b: int) -> np.ndarray:
     """Similarity of a packed signature to others: agreeing positions by bit counts, less what chance gives."""
-    differ = np.bitwise_or.reduce(others ^ one[None], axis=1)
+    return estimate_rows(one[None], others, n_hashes, b)
+
+
+def estimate_rows(one: np.ndarray, others: np.ndarray, n_hashes: int, b: int) -> np.ndarray:
+    """The same for signatures row by row."""
+    differ = np.bitwise_or.reduce(others ^ one, axis=1)
     agree = 1 - np.bitwise_count(differ).sum(1, dtype=np.int64) / n_hashes
     chance = 0.5**b
     return (agree - chance) / (1 - chance)
@@ -317,6 +323,60 @@ def link_block(sets: list[np.ndarray], planes: np.ndarray, n_hashes: int, b: int
     return edges
 
 
+def screened(buckets: DataFrame, n_hashes: int, b: int, bound: float, part_size: int) -> DataFrame:
+    """(node, other): a spanning forest, bucket by bucket, of the pairs whose estimate reaches ``bound``.
+
+    ``buckets``: (key, node, leader, mates, sig, near); ``near`` says whether the node passed with its bucket's leader.
+    Only nodes that did not are compared here, with all members of the bucket but the leader, in cells of ``part_size`` squared.
+    """
+    rests = buckets.where("NOT near AND mates > 2").groupBy("key").agg(F.count(F.lit(1)).alias("r"))
+    rows = split_join(buckets.where("node <> leader AND mates > 2"), rests, "key")
+    parts, rest_parts = F.ceil(F.col("mates") / part_size).cast("int"), F.ceil(F.col("r") / part_size).cast("int")
+    small = F.col("mates") <= part_size
+    n_groups = max(64, (rests.agg(F.sum("r")).first()[0] or 0) // part_size)
+    rows = rows.withColumn("k1", F.when(small, F.pmod(F.xxhash64("key"), F.lit(n_groups))).otherwise(F.col("key"))).select("*", parts.alias("parts"), rest_parts.alias("rest_parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    tested = (
+        rows.where("NOT near")
+        .withColumn("k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts")).cast("int"))
+        .withColumn("k3", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("tested", F.lit(True))
+    )
+    every = rows.withColumn("k3", own).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1))).withColumn("tested", F.lit(False))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, bucket in group.groupby("key", sort=False):
+            bucket = bucket.sort_values(["tested", "node"], ascending=[False, True], kind="stable").drop_duplicates("node")
+            nodes, near = bucket["node"].tolist(), bucket["near"].to_numpy()
+            planes = np.stack([np.frombuffer(v, np.uint8).reshape(b, -1) for v in bucket["sig"]])
+            forest, first = _Forest(len(nodes)), -1
+            for i in np.flatnonzero(near).tolist():  # tied by their leader
+                first = i if first < 0 else first
+                forest.tie(first, i)
+            for i in range(int(bucket["tested"].sum())):
+                for j in np.flatnonzero(estimate(planes[i], planes, n_hashes, b) >= bound).tolist():
+                    if j != i and forest.tie(i, j):
+                        out.append((nodes[i], nodes[j]))
+        return pd.DataFrame(out, columns=["node", "other"])
+
+    columns = ["k1", "k2", "k3", "key", "node", "near", "sig", "tested"]
+    cells = tested.select(*columns).unionByName(every.select(*columns)).repartition("k1", "k2", "k3")
+    return cells.groupBy("k1", "k2", "k3").applyInPandas(compare, "node bigint, other bigint")
+
+
+def _passes(pairs: DataFrame, n_hashes: int, b: int, bound: float) -> DataFrame:
+    """(node, leader, near) of (node, leader, sig, leader_sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.stack([np.frombuffer(v, np.uint8) for v in batch.column(i).to_pylist()]).reshape(batch.num_rows, b, -1) for i in (2, 3))
+            near = estimate_rows(one, two, n_hashes, b) >= bound
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["node", "leader", "near"])
+
+    return pairs.mapInArrow(run, "node bigint, leader bigint, near boolean")
+
+
 def _nodes(group: pd.DataFrame, b: int) -> tuple[list[np.ndarray], np.ndarray]:
     sets = [np.frombuffer(s, _U) for s in group["shingles"]]
     planes = np.stack([np.frombuffer(s, np.uint8).reshape(b, -1) for s in group["sig"]])
@@ -338,16 +398,26 @@ def near_duplicates(
     nodes = staged(usable.groupBy("node").agg(source["id"].alias("id"), source["text_hash"].alias("text_hash"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("mates"), F.min("node").alias("leader")).where("mates > 1")
-    stars = staged(banded.join(buckets, "key").select("node", "leader", "mates"), "stars")
-    blocks = components(stars.select("node", "leader"), "blocks")
-    weight = stars.groupBy("node").agg(F.sum("mates").alias("weight"))
+    stars = staged(split_join(banded, buckets, "key"), "stars")
+
+    # every member of a bucket with its leader, each such pair once, then what is left among themselves
+    signed = nodes.select("node", "sig")
+    bound = screen_bound(threshold[0] / threshold[1], n_hashes, b)
+    pairs = stars.where("node <> leader").select("node", "leader").distinct()
+    pairs = pairs.join(signed, "node").join(signed.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader").select("node", "leader", "sig", "leader_sig")
+    led = staged(_passes(pairs, n_hashes, b, bound), "led")
+    marked = stars.where("node <> leader AND mates > 2").join(led, ["node", "leader"]).join(signed, "node")
+    alike = led.where("near").select("node", F.col("leader").alias("other")).unionByName(screened(marked, n_hashes, b, bound, part_size))
+    alike = staged(alike.distinct(), "alike")
+    blocks = components(alike, "blocks")
+    weight = alike.select("node").unionAll(alike.select("other")).groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
 
     # block sizes and hubs, then the parts of large blocks
     member = staged(
         blocks.withColumnRenamed("component", "block").join(weight, "node").join(nodes.select("node", "id", "text_hash", "sig"), "node"), "members"
     )
     sizes = member.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.max_by("node", F.struct("weight", F.negative("node"))).alias("hub"))
-    placed = member.join(sizes, "block").withColumn("parts", F.ceil(F.col("m") / part_size).cast("int"))
+    placed = split_join(member, sizes, "block").withColumn("parts", F.ceil(F.col("m") / part_size).cast("int"))
     placed = placed.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(F.lit(0)))
     # a document id may stand for several texts: the hash picks the one that makes the node's set
     texts = plain.where(F.col("id").isNotNull()).join(placed.select("node", "id", "text_hash", "sig", "block", "hub", "parts", "part"), ["id", "text_hash"])
@@ -386,7 +456,7 @@ def near_duplicates(
     state = local.groupBy("node").agg(F.min("root").alias("root"), F.max("with_hub").alias("with_hub"))
     known = large.join(state, "node")
     rest_sizes = known.where("NOT with_hub").groupBy("block").agg(F.count(F.lit(1)).alias("r"))
-    known = known.join(rest_sizes, "block").withColumn("rests", F.ceil(F.col("r") / part_size).cast("int"))
+    known = split_join(known, rest_sizes, "block").withColumn("rests", F.ceil(F.col("r") / part_size).cast("int"))
     rest = (
         known.where("NOT with_hub")
         .withColumn("k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))

@@ -253,6 +253,31 @@ def test_an_id_with_two_texts_links_by_both(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == collections.Counter(brute_classes(rows))
 
 
+@pytest.mark.parametrize("part_size", [512, 16])
+def test_boilerplate_does_not_chain(spark, monkeypatch, part_size):
+    """Half of every text is shared, so that bands chain them all; only near copies reach the blocks, and the classes are exact."""
+    rng, edges = random.Random(17), {}
+    shared = [f"s{i}" for i in range(120)]
+    rows = [" ".join(shared[k % 3 :] + [f"u{k}x{i}" for i in range(60 + k % 9)]) for k in range(150)]
+    rows += [" ".join([*t.split()[:-1], "end"]) for t in rng.sample(rows, 30)]
+    rng.shuffle(rows)
+
+    def seen(pairs, label="components"):
+        edges[label] = pairs.count()
+        return components.components(pairs, label)
+
+    monkeypatch.setattr(minhash, "components", seen)
+    found = minhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), part_size=part_size)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == collections.Counter(brute_classes(list(enumerate(rows))))
+    sets = [minhash.shingles_of(w) for w in minhash.word_hashes(rows)]
+    planes = minhash.pack_bits(minhash.signatures(sets, 130), 4)
+    bound = minhash.screen_bound(0.85, 130, 4)
+    n_alike = sum(int((minhash.estimate(planes[i], planes[i + 1 :], 130, 4) >= bound).sum()) for i in range(len(rows) - 1))
+    keys = minhash.band_keys(minhash.signatures(sets, 130), 26, 5)
+    mates = sum(len(set(map(int, keys[:, c]))) < len(rows) for c in range(26))
+    assert mates > 20 and 30 <= edges["blocks"] <= n_alike + 30
+
+
 def test_near_duplicates_edges(spark, odd):
     found = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert found[1] == (1, True) and found[2] == (2, True) and found[6] == (5, False) and found[None] == (None, True)
@@ -276,6 +301,12 @@ def test_words_across_segments(monkeypatch):
     assert [g.tolist() for g in got] == [w.tolist() for w in want] and [len(w) for w in want] == [500, 0, 0, 1, 2]
 
 
+def test_a_hub_of_many_edges(spark):
+    pairs = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(2999, 5000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 3000 + 41
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
