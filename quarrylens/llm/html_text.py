@@ -15,7 +15,7 @@ stands directly in an element; its features are the phrases of that text.
 A host with few pages says little about phrases, so the same paths of all hosts are merged as well (the tree
 of all sites): the smaller of the two content importances counts.  Few pages also lower the threshold.
 
-The tree is a table of (host, node, kind, feature) counts over the distinct pages of the host: what moves is one
+The tree is a table of (host, node, feature) counts, all three as 64-bit hashes, over the distinct pages of the host: what moves is one
 row of features for each (host, digest of the page), copies combined before the shuffle, and then counts; no
 page's DOM and no host's pages are gathered in one task.  Only nodes that may be noise return to the pages of
 their host.
@@ -218,30 +218,36 @@ def give_keys(root: Node) -> Iterator[tuple[Node, list[str], str]]:
         yield node, shape, " ".join(own)
 
 
-def style_features(root: Node) -> set[tuple[int, str, int]]:
-    """(node key, kind, feature) of a page, each once; kind "s" is a presentation, "t" a phrase, and feature 0 says that the page shows the node."""
+def element_node(key: int) -> int:
+    return key & ~1
+
+
+def content_node(key: int) -> int:
+    return key | 1
+
+
+def style_features(root: Node) -> set[tuple[int, int]]:
+    """(node, feature) of a page, each once: presentations of element nodes, phrases of content nodes, and feature 0 says that the page shows the node."""
     out = set()
     for node, shape, own in give_keys(root):
         if shape:
-            out.add((node.key, "s", _hash("/".join(shape)) or 1))
-            out.add((node.key, "s", 0))
+            out.add((element_node(node.key), _hash("/".join(shape)) or 1))
+            out.add((element_node(node.key), 0))
         if own:
-            out.add((node.key, "t", 0))
-            out.update((node.key, "t", _hash(p) or 1) for p in phrases(own))
+            out.add((content_node(node.key), 0))
+            out.update((content_node(node.key), _hash(p) or 1) for p in phrases(own))
     return out
 
 
-#: What is known of a host's nodes: content importance by key, and (presentation importance, gamma ** l) by key.
-Tree = tuple[dict[int, float], dict[int, tuple[float, float]]]
+#: What is known of a host's nodes: importance and gamma ** l.
+Tree = dict[int, tuple[float, float]]
 
 
 def noise(root: Node, tree: Tree, bound: float = MIN_IMPORTANCE) -> tuple[set[int], int]:
     """Keys of the nodes whose own text is noise, and the number of largest branches that are.
 
-    ``tree`` holds the nodes that may be noise: content importance by key, and presentation importance with its
-    weight's complement by key.  All others are important.
+    ``tree`` holds the nodes that may be noise; all others are important.
     """
-    contents, shapes = tree
     order = [(node, bool(shape), bool(own)) for node, shape, own in give_keys(root)]
     total: dict[int, list[float]] = {}  # by node: composite importances of the parts, whether all are noise
     clean: dict[int, bool] = {}
@@ -250,7 +256,7 @@ def noise(root: Node, tree: Tree, bound: float = MIN_IMPORTANCE) -> tuple[set[in
     for node, inner, own in reversed(order):  # children come after their parents in this order
         parts, low, inside = total.pop(id(node), []), clean.pop(id(node), True), alone.pop(id(node), 0)
         if own:
-            value = 1.0 if node.safe else contents.get(node.key, 1.0)
+            value = 1.0 if node.safe else tree.get(content_node(node.key), (1.0, 0.0))[0]
             parts.append(value)
             if value < bound:
                 found.add(node.key)
@@ -261,7 +267,7 @@ def noise(root: Node, tree: Tree, bound: float = MIN_IMPORTANCE) -> tuple[set[in
             continue
         below = sum(parts) / len(parts)
         if inner:
-            own_part, rest = shapes.get(node.key, (1.0, 0.0))
+            own_part, rest = tree.get(element_node(node.key), (1.0, 0.0))
             composite = (1 - rest) * own_part + rest * below
         else:
             composite = below
@@ -318,50 +324,49 @@ def _scale(m: Column) -> Column:
 
 
 def importance(counts: DataFrame, gamma: float = GAMMA, min_pages: int = MIN_PAGES, min_pooled: int = MIN_POOLED) -> DataFrame:
-    """(host, node, kind, n_pages, importance, rest) from (host, node, kind, feature, n).
+    """(host, node, n_pages, importance, rest) from (host, node, feature, n).
 
     ``importance`` is divided by the scale of the number of pages, so that one bound holds for all; ``rest`` is gamma to the number of presentations.
     """
-    text, shown = F.col("kind") == "t", F.col("feature") == 0
+    text, shown = F.col("node").bitwiseAND(1) == 1, F.col("feature") == 0
     n = F.col("n").cast("double")
     sums = [F.max(F.when(shown, F.col("n"))).alias("m"), F.count(F.when(~shown, 1)).alias("l"), F.sum(F.when(~shown, F.log(n))).alias("logs"), F.sum(F.when(~shown, n)).alias("total"), F.sum(F.when(~shown, n * F.log(n))).alias("s")]
     base = F.log(F.col("m").cast("double"))
     content = 1 - F.col("logs") / F.col("l") / base
     shape = (F.log("total") - F.col("s") / F.col("total")) / base
-    by_host = counts.groupBy("host", "node", "kind").agg(*sums)
+    by_host = counts.groupBy("host", "node").agg(*sums)
     own = F.when(F.col("m") < F.when(text, min_pages).otherwise(2), 1.0).otherwise(F.when(text, content / _scale(F.col("m"))).otherwise(shape))
     every = counts.where(text).groupBy("node", "feature").agg(F.sum("n").alias("n")).groupBy("node").agg(*sums).where(F.col("m") >= min_pooled)
     pooled = every.select(F.col("node").alias("p_node"), (content / _scale(F.col("m"))).alias("pooled"))
-    joined = by_host.select("host", "node", "kind", "m", own.alias("own"), F.pow(F.lit(gamma), F.col("l")).alias("rest")).join(pooled, text & (F.col("node") == F.col("p_node")), "left")
-    return joined.select("host", "node", "kind", F.col("m").alias("n_pages"), F.least("own", F.coalesce("pooled", F.lit(1.0))).alias("importance"), "rest")
+    joined = by_host.select("host", "node", "m", own.alias("own"), F.pow(F.lit(gamma), F.col("l")).alias("rest")).join(pooled, F.col("node") == F.col("p_node"), "left")
+    return joined.select("host", "node", F.col("m").alias("n_pages"), F.least("own", F.coalesce("pooled", F.lit(1.0))).alias("importance"), "rest")
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, kind, feature, n): how many distinct pages of a host show each feature at each node."""
-    plain = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
+    """(host, node, feature, n): how many distinct pages of a host show each feature at each node."""
+    plain = pages.select(F.xxhash64(host_of(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                seen: dict[tuple[str, bytes], None] = {}
-                rows: list[tuple[int, str, int]] = []
+                seen: dict[tuple[int, bytes], None] = {}
+                rows: list[tuple[int, int]] = []
                 ends = [0]
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     one = (host, blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     if one not in seen:
                         seen[one] = None
-                        rows += style_features(parse(page))
+                        rows += sorted(style_features(parse(page)))
                         ends.append(len(rows))
                 hosts, digests = zip(*seen, strict=True)
-                node, kind, feature = zip(*rows, strict=True) if rows else ((), (), ())
-                fields = [pa.array(node, pa.int64()), pa.array(kind, pa.string()), pa.array(feature, pa.int64())]
-                features = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["node", "kind", "feature"]))
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), features], names=["host", "digest", "found"])
+                node, feature = zip(*rows, strict=True) if rows else ((), ())
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, pa.int64())) for v in (node, feature)]
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(digests, pa.binary()), *lists], names=["host", "digest", "node", "feature"])
 
-    found = plain.mapInArrow(run, "host string, digest binary, found array<struct<node:bigint,kind:string,feature:bigint>>")
-    distinct = found.dropDuplicates(["host", "digest"]).select("host", F.explode("found").alias("f"))
-    return distinct.groupBy("host", F.col("f.node").alias("node"), F.col("f.kind").alias("kind"), F.col("f.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    found = plain.mapInArrow(run, "host bigint, digest binary, node array<bigint>, feature array<bigint>")
+    distinct = found.dropDuplicates(["host", "digest"]).select("host", F.explode(F.arrays_zip("node", "feature")).alias("f"))
+    return distinct.groupBy("host", F.col("f.node").alias("node"), F.col("f.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def host_of(url_col: str):
@@ -370,11 +375,11 @@ def host_of(url_col: str):
 
 
 def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", bound: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES, min_pooled: int = MIN_POOLED) -> DataFrame:
-    """(host, nodes): the nodes of a host's style tree that may be noise, as (node, importance, rest), rest null for content."""
+    """(host, nodes): the nodes of a host's style tree that may be noise, as (node, importance, rest)."""
     scored = importance(style_tree(pages, url_col, html_col), GAMMA, min_pages, min_pooled)
-    text = F.col("kind") == "t"
+    text = F.col("node").bitwiseAND(1) == 1
     low = scored.where(F.when(text, F.col("importance") < bound).otherwise((1 - F.col("rest")) * F.col("importance") < bound))
-    node = F.struct("node", F.col("importance").cast("float").alias("importance"), F.when(~text, F.col("rest")).cast("float").alias("rest"))
+    node = F.struct("node", F.col("importance").cast("float").alias("importance"), F.col("rest").cast("float").alias("rest"))
     return low.groupBy("host").agg(F.collect_list(node).alias("nodes"), F.count(F.when(text, 1)).alias("n_text")).where("n_text > 0").select("host", "nodes")
 
 
@@ -386,13 +391,13 @@ def extract(
     # a host's list holds possible noise only; Spark broadcasts it where it is small and splits hot hosts where it is not
     low = staged(noise_nodes(pages, url_col, html_col, bound, min_pages, min_pooled), "style-tree")
     keys = [f"__k{i}" for i in range(len(key_cols))]
-    plain = pages.select(*[F.col(c).alias(k) for c, k in zip(key_cols, keys, strict=True)], F.col(html_col).cast("string").alias("__html"), host_of(url_col).alias("__host"))
+    plain = pages.select(*[F.col(c).alias(k) for c, k in zip(key_cols, keys, strict=True)], F.col(html_col).cast("string").alias("__html"), F.xxhash64(host_of(url_col)).alias("__host"))
     joined = plain.join(low.withColumnRenamed("host", "__h"), F.col("__host") == F.col("__h"), "left").select(*keys, "__html", "__host", "nodes")
     types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     n = len(key_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Tree] = {}
+        trees: dict[int, Tree] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -403,8 +408,7 @@ def extract(
                         if host not in trees:
                             if len(trees) >= 64:
                                 trees.clear()
-                            known = part.column(n + 2)[i].as_py()
-                            trees[host] = {x["node"]: x["importance"] for x in known if x["rest"] is None}, {x["node"]: (x["importance"], x["rest"]) for x in known if x["rest"] is not None}
+                            trees[host] = {x["node"]: (x["importance"], x["rest"]) for x in part.column(n + 2)[i].as_py()}
                         found, cut = noise(root, trees[host], bound)
                     texts.append(page_text(root, found, declared))
                     pruned.append(cut)

@@ -650,10 +650,11 @@ def test_style_tree_equals_brute_force(spark):
         key = html_text._hash("#root")
         for label in path.split("/")[1:]:
             key = html_text._hash(f"{key}/{label}")
-        keys[path] = key
-    got = {(r.host, r.node, r.kind): r.importance for r in html_text.importance(html_text.style_tree(frame), min_pooled=20).collect()}
-    assert got.keys() == {(h, keys[p], k) for h, p, k in want}
-    assert all(abs(got[h, keys[p], k] - v) < 1e-9 for (h, p, k), v in want.items())
+        keys[path, "s"], keys[path, "t"] = key & ~1, key | 1
+    hashes = {r.h: r.k for r in frame.select(html_text.host_of("url").alias("h")).distinct().withColumn("k", F.xxhash64("h")).collect()}
+    got = {(r.host, r.node): r.importance for r in html_text.importance(html_text.style_tree(frame), min_pooled=20).collect()}
+    assert got.keys() == {(hashes[h], keys[p, k]) for h, p, k in want}
+    assert all(abs(got[hashes[h], keys[p, k]] - v) < 1e-9 for (h, p, k), v in want.items())
     texts = {r.page_id: (r.text, r.n_pruned) for r in html_text.extract(frame, min_pooled=20, bound=0.7).collect()}
     for i, (host, page) in enumerate(pages):
         o = Outline(page)
