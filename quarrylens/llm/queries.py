@@ -51,7 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_columns(pii.find(table(spark, sf_dir, "documents")))
+    return pii.span_columns(pii.find(table(spark, sf_dir, "documents"), keep_text=False))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarrylens.llm import bpe, components, hnsw, html_text, minhash, packing, pii, quality_model, quality_rules, queries, substrings, textstats, warc
@@ -457,6 +458,82 @@ def test_long_runs_are_entered_once(spark):
     assert time.time() - at < 60
 
 
+def slow_redact(text, spans):
+    out, at = "", 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += text[at:start] + f"<{kind.upper()}>"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_span_walks_equal_brute_force(spark, monkeypatch):
+    """Small blocks and chunks, overlapping base spans, ties: what is free, what stands around, and the redacted text."""
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    monkeypatch.setattr(pii, "CHUNK", 7)
+    rng = random.Random(23)
+    parts = ["a@b.co ", "1.2.3.4 ", "+1 (555) 010-2030 ", "4111 1111 1111 1111 ", "password=hunter2x ", "bob (at) mail (dot) com ", "123-45-6789 ", "415-555-0100 ", "é日 ", "x\n", "+15550102030@c.de ", "token: '" + "ab12" * 10 + "' "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    base = {i: base_of(t) for i, t in enumerate(texts)}
+    found = pii.with_candidates(pii.find_base(frame(spark, texts))).select("doc_id", "__candidates").collect()
+    assert sum(len(r["__candidates"]) for r in found) > 300
+    for r in found:
+        text, taken = texts[r.doc_id], [tuple(map(int, b.split(":")[1:])) for b in base[r.doc_id]]
+        want, own = [], list(taken)
+        for kind, pattern in pii.WIDER.items():
+            fresh = [m.span() for m in regex.finditer(pattern, text)]
+            fresh = [(a, b) for a, b in fresh if not any(x < b and y > a for x, y in own)]
+            want += [(kind, a, b, text[a:b], text[max(0, a - 24) : a], text[b : b + 24], any(x < b + pii.NEAR and y > a - pii.NEAR for x, y in taken)) for a, b in fresh]
+            own += fresh
+        assert [tuple(c) for c in r["__candidates"]] == want, text
+    docs = frame(spark, texts)
+    spans = {r.doc_id: [(s.start, s.end, k) for k in pii.KINDS for s in r[k]] + [(s.start, s.end, s.kind) for s in r.added] for r in pii.find(docs).collect()}
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {i: slow_redact(t, spans[i]) for i, t in enumerate(texts)}
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = "".join(f"user{i}@mail.com password=q{i * 7919 % 99991:05x}w{i * 31 % 9973:04x}zq " for i in range(20_000))
+    at = time.time()
+    out = pii.redact(frame(spark, [text, "clean"])).collect()
+    assert {r.doc_id: r.text for r in out} == {0: "<EMAIL> <SECRET> " * 20_000, 1: "clean"}
+    assert time.time() - at < 90
+
+
+def planted(rng, n):
+    """(text, start, end, personal) of spans in prose: each kind has personal ones and others of the same or like shape."""
+    word = lambda: "".join(rng.choice(["tha", "ti", "on", "re", "sh", "en", "er"]) for _ in range(rng.randint(1, 3)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    made = []
+    for _ in range(n):
+        before, after = " ".join(word() for _ in range(9)), " ".join(word() for _ in range(9))
+        lead, span, personal = rng.choice([
+            lambda: ("", f'token = "{hexes(40)}"', True), lambda: ("", f"password={hexes(14)}", True), lambda: ("contact: ", f"{word()} (at) {word()}mail (dot) com", True), lambda: ("mail me at ", f"{word()}[at]{word()}mail.com", True),
+            lambda: ("phone: ", f"({digits(3)}) 555-{digits(4)}", True), lambda: ("ssn: ", f"{digits(3)}-{digits(2)}-{digits(4)}", True),
+            lambda: ("", f"the at {word()}. {word().title()}", False), lambda: ("", f"in at and. {word().title()}", False), lambda: ("", digits(16), False), lambda: ("item ", digits(12), False), lambda: ("", "password = required", False), lambda: ("", "secret: hidden", False), lambda: ("page ", digits(9), False),
+        ])()
+        text = f"{before} {lead}{span} {after}"
+        at = len(before) + 1 + len(lead)
+        made.append((text, at, at + len(span), personal))
+    return made
+
+
+def test_added_spans_of_held_out_texts(spark):
+    """Fitted without labels on one half, judged on planted spans of the other; every context labeler votes and weighs."""
+    rng = random.Random(29)
+    one, two = planted(rng, 1500), planted(rng, 700)
+    model = pii.train(pii.search(frame(spark, [t for t, *_ in one])))
+    found = {r.doc_id: {(s.start, s.end) for s in r.added} for r in pii.find(frame(spark, [t for t, *_ in two]), model).collect()}
+    hits = sum(any(a < e and b > s for a, b in found[i]) for i, (_, s, e, personal) in enumerate(two) if personal)
+    false = sum(len(found[i]) for i, (*_, personal) in enumerate(two) if not personal)
+    n_personal = sum(personal for *_, personal in two)
+    total = sum(map(len, found.values()))
+    assert hits >= 0.9 * n_personal and false <= 0.05 * total
+    rates = model.reliabilities()
+    assert all(rates[k][0] > 0 for k in pii.LABELERS if k != "neighbours")
+    assert all(abs(model.weights[f"{k}"]) > 0.05 for k in ("context_for", "anti_context_against", "sentence_against")) and model.weights["context_for"] > 0 > model.weights["sentence_against"]
+
+
 def test_em_finds_the_better_labeler():
     rng = random.Random(1)
     counts = collections.Counter()
