@@ -2,7 +2,7 @@
 
 Every step is an aggregation (combined before the shuffle) and an equi-join that is dealt anew, so that
 adaptive execution splits the edges of a hub; no neighbour list is ever gathered.  Each round is written to the shared
-folder, so the lineage stays short and a lost executor costs at most one round.
+folder, so the lineage stays short and a lost executor costs at most one round; the round before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, staged
+from .common import remove, scratch_path, split_join
 
 MAX_ROUNDS = 40
 
@@ -36,10 +36,20 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         .select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
         .distinct()
     )
-    now = staged(now, label)
+    spark, path = edges.sparkSession, None
+
+    def stage(df: DataFrame) -> DataFrame:
+        nonlocal path
+        last, path = path, scratch_path(spark, label)
+        df.write.parquet(path)
+        if last:
+            remove(spark, last)
+        return spark.read.schema(df.schema).parquet(path)
+
+    now = stage(now)
     state = None
     for _ in range(MAX_ROUNDS):
-        now = staged(_star(_star(now, large=True), large=False), label)
+        now = stage(_star(_star(now, large=True), large=False))
         # order-free fingerprint of the round's edges
         found = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.count_distinct("a")).first()
         if found[0] == found[2] and tuple(found) == state or not found[0]:

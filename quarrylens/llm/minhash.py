@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, staged
+from .common import scratch_path, split_join, staged, temporary
 from .components import components
 
 BANDS, ROWS, B = 26, 5, 4
@@ -388,7 +388,7 @@ def near_duplicates(
     threshold: tuple[int, int] = THRESHOLD, part_size: int = PART_SIZE, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row."""
-    n_hashes = bands * rows
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketch = staged(_sketch(plain, bands, rows, b, width), "sketch")
 
@@ -396,6 +396,25 @@ def near_duplicates(
     # one node for each distinct set; one of its documents, by id and hash of its text, gives the text again
     source = F.min(F.struct("id", "text_hash"))
     nodes = staged(usable.groupBy("node").agg(source["id"].alias("id"), source["text_hash"].alias("text_hash"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    path = scratch_path(spark, "classes")
+    with temporary(spark):
+        _classes(plain, nodes, bands * rows, b, width, threshold, part_size).write.parquet(path)
+    classes = spark.read.schema("node bigint, component bigint").parquet(path)
+
+    named = usable.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_node = nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(least, "component").select("node", "component_id")
+    found = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(of_node, "node", "left")
+    return found.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _classes(plain: DataFrame, nodes: DataFrame, n_hashes: int, b: int, width: int, threshold: tuple[int, int], part_size: int) -> DataFrame:
+    """(node, component) of every node with a confirmed link."""
     banded = nodes.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("mates"), F.min("node").alias("leader")).where("mates > 1")
     stars = staged(split_join(banded, buckets, "key"), "stars")
@@ -474,15 +493,4 @@ def near_duplicates(
 
     # the rows come partitioned by block, which would keep all cells of a large one in a single task
     crossing = rest.unionByName(every).repartition("block", "k2", "k3").groupBy("block", "k2", "k3").applyInPandas(across, "node bigint, root bigint")
-    classes = components(edges.unionByName(crossing), "classes")
-
-    named = usable.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(least, "component").select("node", "component_id")
-    found = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(of_node, "node", "left")
-    return found.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
-    )
+    return components(edges.unionByName(crossing), "classes")

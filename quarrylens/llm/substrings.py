@@ -10,8 +10,9 @@ Chunks end after one word in five, so a shared passage of 51 words loses about t
 to chunks that reach over them; a run of 20 words is enough to recognise it, and lines or phrases of fewer
 words never form one.
 
-Only (digest, doc_id) pairs are shuffled, once combined before the shuffle to the least id and once to
-bring it back; what a document shares returns as one array for the document.
+The (digest, doc_id) pairs are written once to the shared folder.  They are combined before the shuffle to the least id
+of each digest; what occurs in one document only falls away, and the rest is joined back as two plain shuffles, so that
+Spark splits a chunk that very many documents hold.  What a document shares returns as one array for the document.
 
 Defined cases: a null text stays null and an empty one empty; rows of one ``doc_id`` do not deduplicate each
 other; rows with a null ``doc_id`` neither own chunks nor lose any to others (their own repeats go); an
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_join, staged
 from .minhash import _SEGMENT, _SPACE, _power_tables, mix
 
 MIN_WORDS = 20
@@ -169,8 +171,9 @@ def deduplicate(
     plain = docs.toDF(*names)
     id_at, text_at = names[columns.index(id_col)], names[columns.index(text_col)]
     rows = chunk_digests(plain.where(F.col(id_at).isNotNull()).select(F.col(id_at).alias("id"), F.col(text_at).cast("string").alias("text")), mean_words, max_words)
+    rows = staged(rows, "chunks")
     owners = rows.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("digest", "owner")
-    shared = rows.join(owners, "digest").where("id > owner").groupBy("id").agg(F.collect_list(F.struct("digest", "owner")).alias("shared"))
+    shared = split_join(rows, owners, "digest").where("id > owner").groupBy("id").agg(F.collect_list(F.struct("digest", "owner")).alias("shared"))
     joined = plain.join(shared.withColumnRenamed("id", "__id"), F.col(id_at) == F.col("__id"), "left").drop("__id")
 
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -360,6 +360,46 @@ def test_chunks_across_segments(monkeypatch):
     assert all((g == w).all() for g, w in zip(got, want, strict=True))
 
 
+def brute_passages(rows, min_words=20):
+    """(words cut, text left) by id from the definitions: gear hash byte by byte, chunks as word tuples, owners by a dictionary."""
+    table, chunks, owner = [int(v) for v in substrings._GEAR], {}, {}
+    for d, text in rows:
+        raw = (text or "").encode()
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        own, held = [], []
+        for k, (_, end, word) in enumerate(found):
+            held.append(k)
+            last = (b" " * 16 + raw)[end : end + 16]  # the 16 bytes up to the word's end
+            rolled = sum(table[x] << (15 - i) for i, x in enumerate(last)) & 0xFFFFFFFF
+            if k == len(found) - 1 or rolled < (1 << 32) // 5 or len(held) == 64:
+                own.append((held[0], k + 1, tuple(w for *_, w in found[held[0] : k + 1])))
+                held = []
+        chunks[d] = raw, found, own
+        for *_, key in own:
+            owner[key] = min(owner.get(key, d), d)
+    out = {}
+    for d, (raw, found, own) in chunks.items():
+        seen, flags = set(), []
+        for *_, key in own:
+            flags.append(owner[key] < d or key in seen)
+            seen.add(key)
+        left, at, cut = b"", 0, 0
+        for flag, run in itertools.groupby(range(len(own)), key=lambda i: flags[i]):
+            run = list(run)
+            first, last = own[run[0]][0], own[run[-1]][1]
+            if flag and last - first >= min_words:
+                start, end = found[first][0], found[last][0] if last < len(found) else len(raw)
+                left, at, cut = left + raw[at:start], end, cut + last - first
+        out[d] = cut, (left + raw[at:]).decode()
+    return out
+
+
+def test_passages_equal_brute_force(spark, sf_dir):
+    want = brute_passages([(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()])
+    got = {r.doc_id: (r.n_removed_words, r.text or "") for r in queries.op10_substring_dedup(spark, sf_dir).collect()}
+    assert got == want and sum(n > 0 for n, _ in got.values()) > 5
+
+
 def test_passages_edges(spark, odd):
     found = substrings.deduplicate(odd)
     assert found.count() == odd.count() and found.columns[: len(odd.columns)] == odd.columns and "dedup_removed" in found.columns
@@ -916,13 +956,56 @@ def test_pipeline(spark, sf_dir):
     assert labels.where("quality = 1").join(docs, "doc_id").count() == labels.where("quality = 1").join(first, "doc_id").count()
     second = corpus_pipeline.near_dedup(spark, first, sf_dir)
     rows = [(r.doc_id, r.text) for r in first.collect()]
-    assert {r.doc_id for r in second.collect()} == {c for _, _, c in brute_classes(rows)}
+    assert {r.doc_id for r in second.collect()} == kept_from(rows, 80)
     fourth = corpus_pipeline.personal_data(spark, corpus_pipeline.substring_dedup(spark, second, sf_dir), sf_dir)
     assert fourth.columns == docs.columns and not any(base_of(r.text) for r in fourth.collect())
     assert corpus_pipeline.pack(spark, fourth, sf_dir).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "personal_data", "pack"]
 
 
+def test_run_equals_brute_force(spark, sf_dir):
+    """run() against: documents the classifier keeps, classes by all pairs, passages by definition, spans replaced one by one, token ids of the library."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    good = {r.doc_id for r in quality_model.reject(docs, model).select("doc_id").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
+    kept = kept_from(rows, 80)
+    cut = {d: (n, t) for d, (n, t) in brute_passages([r for r in rows if r[0] in kept]).items() if not n or t.strip(" ")}
+    third = spark.createDataFrame([(d, t) for d, (_, t) in sorted(cut.items())], "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.end, k) for k in pii.KINDS for s in r[k]] + [(s.start, s.end, s.kind) for s in r.added] for r in pii.find(third).collect()}
+    library = Tokenizer.from_file(BYTE_BPE)
+    ids = {d: library.encode(slow_redact(t, spans[d]), add_special_tokens=False).ids + [0] for d, (_, t) in cut.items()}
+    found = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert set(found["doc_id"]) == set(ids)
+    check_packing(found, ids)
+
+
+def test_stages_take_odd_tables(spark, sf_dir, odd):
+    import corpus_pipeline
+
+    names = ["n_removed_words", "first_in", "__gone", "c0", "kept", "score", "email", "added", "__text"]
+    docs = odd.withColumns({c: F.lit(c) for c in names}).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    more = docs.unionByName(docs.where("doc_id = 4"))
+    near = corpus_pipeline.near_dedup(spark, more, sf_dir)
+    assert near.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in near.collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, None: 1}
+    third = corpus_pipeline.substring_dedup(spark, near, sf_dir)
+    assert third.columns == docs.columns and {r.doc_id for r in third.collect()} == {1, 2, 3, 4, 5, 7, 8, None}
+    fourth = corpus_pipeline.personal_data(spark, third, sf_dir)
+    texts = {r.doc_id: (r.text, r.n_chars, r.email) for r in fourth.collect()}
+    assert fourth.columns == docs.columns and texts[8] == ("<EMAIL> <PHONE>", 15, "email") and texts[1] == (None, None, "email") and texts[2][0] == ""
+    packed = corpus_pipeline.pack(spark, fourth, sf_dir)
+    assert {r.doc_id for r in packed.collect()} == {1, 2, 3, 4, 5, 7, 8, None}
+    assert corpus_pipeline.quality(spark, docs, sf_dir).columns == docs.columns
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf_dir).count() == 0, name
+
+
 def kept_from(rows, percent):
     """The smallest id of each class of sets linked from this percentage on."""
     sets, parent = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
