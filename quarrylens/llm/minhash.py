@@ -38,7 +38,7 @@ from .components import components
 BANDS, ROWS, B = 26, 5, 4
 WIDTH = 5
 THRESHOLD = (85, 100)  # 100 * intersection >= 85 * union
-PART_SIZE = 512
+PART_SIZE = 256
 
 _SEGMENT = 1 << 21
 _U = np.uint64
