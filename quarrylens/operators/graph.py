@@ -1,7 +1,7 @@
 """Walks over edge tables.
 
-Each hop is one equi-join of the frontier with the edges and one anti-join with what was seen, so a
-walk of bounded depth is a plan of bounded size; nothing is collected.
+Each hop is one equi-join of the frontier with the edges and one anti-join with what was seen.  From the second hop on
+a frontier is checkpointed, since every later one would hold its plan twice; nothing is collected.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import cut
+
 
 def walk(seeds: DataFrame, edges: DataFrame, depth: int, inbound: bool = True) -> DataFrame:
     """(node, hop, via): first hop at which a node is reached and the least seed that reaches it then.
@@ -27,6 +29,8 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, inbound: bool = True) -
     for hop in range(1, depth + 1):
         reached = frontier.join(links, F.col("node") == F.col("__at")).groupBy("__to").agg(F.min("via").alias("via"))
         frontier = reached.join(seen, F.col("__to") == F.col("node"), "left_anti").select(F.col("__to").alias("node"), "via")
+        if 1 < hop < depth:
+            frontier = cut(frontier)
         seen = seen.unionByName(frontier.select("node"))
         hops.append(frontier.withColumn("hop", F.lit(hop).cast("long")))
     return reduce(DataFrame.unionByName, hops).select("node", "hop", "via")

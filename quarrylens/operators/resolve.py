@@ -21,14 +21,16 @@ def method_key(module, name):
 def resolve(calls: DataFrame, methods: DataFrame, modules: DataFrame, manager_roots: tuple[str, ...] = MANAGER_ROOTS) -> DataFrame:
     """``calls`` (caller_module, callee_name, ...) with resolution, callee_key and confidence.
 
-    ``methods``: (module, name, is_export); ``modules``: (module, common_name: null unless a common module).
+    ``methods``: (module, name, is_export); ``modules``: (module, common_name: null unless a common module) and, where there
+    are extensions, ``extension`` (null for the base).  A name belongs to the base's module if it has one, else to the first of the extensions'.
     Undotted names: own module, else a name defined nowhere is the platform's, else unknown.  Dotted: a common
     module's name before the dot, else a manager root, else a variable of the platform.
     """
     parts = calls.withColumn("__dot", F.instr("callee_name", ".")).withColumn("__head", F.lower(F.substring_index("callee_name", ".", 1))).withColumn("__tail", F.lower(F.element_at(F.split("callee_name", r"\."), -1)))
     own = methods.select(F.col("module").alias("__om"), F.lower("name").alias("__on")).distinct().withColumn("__own", F.lit(True))
     anywhere = methods.select(F.lower("name").alias("__an")).distinct().withColumn("__any", F.lit(True))
-    common = modules.where("common_name IS NOT NULL").select(F.lower("common_name").alias("__cn"), F.col("module").alias("__cm")).dropDuplicates(["__cn"])
+    extends = F.col("extension").isNotNull() if "extension" in modules.columns else F.lit(False)
+    common = modules.where("common_name IS NOT NULL").select(F.lower("common_name").alias("__cn"), F.struct(extends.alias("e"), "module").alias("m")).groupBy("__cn").agg(F.min("m")["module"].alias("__cm"))
     exported = methods.groupBy(F.col("module").alias("__em"), F.lower("name").alias("__en")).agg(F.max("is_export").alias("__ex"))
     joined = (
         parts.join(own, (F.col("caller_module") == F.col("__om")) & (F.col("__tail") == F.col("__on")), "left")

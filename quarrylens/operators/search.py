@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -67,8 +67,8 @@ def and_then_or(docs: DataFrame, id_col: str, weights: dict[str, float], terms:
     """Documents with all terms; if there are none, those with any."""
     found = bm25(docs, id_col, weights, terms, 1)
     n = len(dict.fromkeys(t.lower() for t in terms))
-    every = found.withColumn("__all", F.max("matched").over(Window.partitionBy()) == n)
-    return every.where(~F.col("__all") | (F.col("matched") == n)).drop("__all")
+    most = found.agg(F.max("matched").alias("__most"))  # one row
+    return found.crossJoin(F.broadcast(most)).where((F.col("__most") < n) | (F.col("matched") == n)).drop("__most")
 
 
 def similar_names(names: DataFrame, column: str, query: str, least: float = 0.3, n: int = 5) -> DataFrame:

@@ -43,12 +43,8 @@ def semantic_tables(methods: DataFrame) -> dict[str, DataFrame]:
 def build(spark: SparkSession, source: str, index: str, commit: str | None = None) -> Store:
     """Read ``source``, write a snapshot under ``index`` and make it current; the build marker keeps others out."""
     store = Store(spark, index)
-    if not store.lock():
-        raise RuntimeError("another build is running")
-    try:
+    with store.building():
         tables = module_tables(spark, source) | metadata_tables(spark, source)
         tables |= semantic_tables(tables["methods"])
         store.write(tables, {"source_path": source, "git_commit": commit, "incremental": 0})
-    finally:
-        store.unlock()
     return store

@@ -288,9 +288,8 @@ def _html_sql(c: str) -> str:
     out = f"regexp_replace({c}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
     out = f"regexp_replace({out}, '(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-6])>', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
-    for entity, char in T.ENTITIES:
-        char = {"'": "''"}.get(char, char)
-        out = f"replace({out}, '{entity}', '{char}')"
+    out = f"replace(replace(replace({out}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<')"
+    out = f"replace(replace(replace({out}, '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39))"
     out = f"regexp_replace({out}, '[ \\t]+', ' ', 'g')"
     return f"regexp_replace(regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
@@ -580,7 +579,7 @@ def freshness_report(t):
 @query("SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase'")
 def sql_guarded(t):
     t.events.createOrReplaceTempView("guarded_events")
-    statement = sqlguard.validate("SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM guarded_events WHERE event_type = 'purchase' -- read only\n;")
+    statement = sqlguard.validate(t.spark, "SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM guarded_events WHERE event_type = 'purchase' -- read only\n;")
     return t.spark.sql(statement).withColumn("n", F.col("n").cast("long"))
 
 

@@ -1,52 +1,89 @@
-"""Read-only SQL: one SELECT or WITH statement over registered views, with hints where it fails."""
+"""Read-only SQL over registered views: Spark parses the text, and what the parsed plan holds decides.
+
+A plan passes if each of its nodes is one of ``NODES``, each table a view registered under one plain name, and each
+function one of ``FUNCTIONS``.  Commands, paths (``parquet.`/x```), catalogs, table functions that read, and calls into
+the JVM are none of these.  CTEs and subqueries are walked as well.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-#: Statements and clauses that change something or reach outside (fixed values).
-DENIED = (
-    "insert", "update", "delete", "merge", "drop", "create", "alter", "truncate", "replace", "attach", "detach", "pragma", "vacuum", "reindex",
-    "set", "reset", "add", "cache", "uncache", "refresh", "load", "use", "grant", "revoke", "call", "execute", "export", "import", "msck", "analyze", "overwrite",
+#: Plan nodes that only compute.
+NODES = frozenset(
+    "Project Filter Aggregate Join LateralJoin Sort Limit GlobalLimit LocalLimit Offset Distinct Deduplicate Union Intersect Except SubqueryAlias Subquery Sample Pivot Unpivot Generate Window WithWindowDefinition "
+    "UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedInlineTable UnresolvedTableValuedFunction OneRowRelation LocalRelation CTERelationRef WithCTE CTERelationDef UnresolvedTVFAliases".split()
+)
+#: Functions of values, aggregates, windows and generators.
+FUNCTIONS = frozenset(
+    "abs any approx_count_distinct array array_agg array_contains array_distinct array_except array_intersect array_join array_max array_min array_position array_remove array_sort array_union arrays_overlap ascii avg "
+    "bit_count cast ceil ceiling char char_length character_length chr coalesce collect_list collect_set concat concat_ws contains count count_if crc32 cume_dist "
+    "date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank element_at endswith every exists exp explode explode_outer extract filter first first_value flatten floor format_number from_unixtime "
+    "get get_json_object greatest grouping grouping_id hash hour if ifnull in initcap instr isnan isnotnull isnull lag last last_value lcase lead least left len length levenshtein ln locate log log10 log2 lower lpad ltrim "
+    "map map_keys map_values max max_by md5 mean median min min_by minute mod month months_between named_struct nth_value ntile nullif nvl nvl2 octet_length percent_rank percentile pmod posexplode position pow power quarter range rank regexp regexp_extract regexp_extract_all regexp_like regexp_replace repeat replace reverse right rlike round row_number rpad rtrim "
+    "second sequence sha sha1 sha2 sign signum size slice sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp struct substr substring substring_index sum to_date to_timestamp transform translate trim trunc try_cast typeof ucase unix_timestamp upper var_pop var_samp variance when window xxhash64 year".split()
 )
-_STRING = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`")
 
 
 class Rejected(ValueError):
-    """The query is not a single read-only statement."""
-
-
-def strip_comments(query: str) -> str:
-    """The query without comments; text in quotes is left alone."""
-    out, at = [], 0
-    for m in re.finditer(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?(?:\*/|$)", query, re.S):
-        out.append(query[at : m.start()])
-        out.append(m[0] if m[0][0] in "'\"`" else " ")
-        at = m.end()
-    return "".join(out) + query[at:]
-
-
-def validate(query: str) -> str:
+    """The query is not a single read-only statement over registered views."""
+
+
+def _items(sequence) -> Iterator:
+    for i in range(sequence.length()):
+        yield sequence.apply(i)
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _check_expression(node) -> None:
+    kind = _kind(node)
+    if kind == "UnresolvedFunction":
+        name = ".".join(_items(node.nameParts())).lower()
+        if name not in FUNCTIONS:
+            raise Rejected(f"the function {name} is not allowed")
+    for child in _items(node.children()):
+        _check_expression(child)
+    if "plan" in kind.lower() or kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery", "UnresolvedScalarSubquery"):
+        plan = getattr(node, "plan", None)
+        if plan is not None and kind != "InSubquery":
+            _check(plan())
+
+
+def _check(plan) -> None:
+    kind = _kind(plan)
+    if kind not in NODES:
+        raise Rejected(f"{kind} is not allowed: only SELECT over registered views")
+    if kind == "UnresolvedRelation" and plan.multipartIdentifier().length() != 1:
+        raise Rejected("only registered views are allowed, by their plain names")
+    if kind == "UnresolvedTableValuedFunction":
+        name = ".".join(_items(plan.name())).lower()
+        if name not in FUNCTIONS:
+            raise Rejected(f"the table function {name} is not allowed")
+    for expression in _items(plan.expressions()):
+        _check_expression(expression)
+    if kind == "UnresolvedWith":
+        for pair in _items(plan.cteRelations()):
+            _check(pair._2())
+    for child in _items(plan.children()):
+        _check(child)
+
+
+def validate(spark: SparkSession, query: str) -> str:
     """The statement to run, or Rejected."""
-    bare = strip_comments(query).strip().rstrip(";").strip()
-    plain = _STRING.sub("''", bare)
-    if not plain:
-        raise Rejected("the query is empty")
-    if ";" in plain:
-        raise Rejected("only one statement is allowed")
-    if not re.match(r"(?i)(select|with)\b", plain):
-        raise Rejected("only SELECT and WITH are allowed")
-    words = set(re.findall(r"[a-z_][a-z0-9_]*", plain.lower()))
-    for word in DENIED:
-        # REPLACE( and the like are functions; a denied word is one that stands alone
-        if word in words and re.search(rf"(?i)(?<![\w.]){word}(?![\w(])", plain):
-            raise Rejected(f"{word.upper()} is not allowed")
-    if any(w.startswith("pragma_") for w in words):
-        raise Rejected("pragma functions are not allowed")
-    return bare
+    statement = query.strip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except Exception as e:  # whatever the parser raises through the gateway
+        raise Rejected(str(e).splitlines()[0]) from None
+    _check(plan)
+    return statement
 
 
 def hint(spark: SparkSession, query: str, error: str) -> str:
@@ -63,9 +100,9 @@ def hint(spark: SparkSession, query: str, error: str) -> str:
 
 def run(spark: SparkSession, query: str, limit: int = 200) -> DataFrame:
     """The query's first ``limit`` rows (clamped to 2000)."""
-    statement = validate(query)
+    statement = validate(spark, query)
     try:
-        return spark.sql(statement).limit(min(max(limit, 1), 2000))
+        return spark.sql(statement.rstrip("; \n\t")).limit(min(max(limit, 1), 2000))
     except (AnalysisException, ParseException) as e:
         raise Rejected(hint(spark, statement, str(e).splitlines()[0])) from e
 

@@ -154,9 +154,11 @@ def complexity(text: str) -> tuple[int, int]:
 
 
 def read_modules(spark: SparkSession, root: str, pattern: str = "*.[bB][sS][lL]") -> DataFrame:
-    """(rel_path, content) of every module file under ``root``."""
+    """(rel_path, content) of every module file under ``root``; rel_path begins below the whole of ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return files.select(F.expr(f"substring(path, position('{root.rstrip('/').split('/')[-1]}/' IN path) + {len(root.rstrip('/').split('/')[-1]) + 1})").alias("rel_path"), "content")
+    return files.select(F.substring("path", len(whole) + 2, 1 << 30).alias("rel_path"), "content")
 
 
 def parse(modules: DataFrame, what: str) -> DataFrame:

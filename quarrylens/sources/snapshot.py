@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
 import time
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA_VERSION = 7
@@ -27,14 +31,18 @@ class Store:
         return self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0]
 
     def _replace(self, name: str, content: str) -> None:
-        """Write beside, then rename: readers see the old or the new file."""
+        """Write beside, then rename over it in one step: readers see the old or the new file, never none."""
         new, old = self._path(f"{self.root}/{name}.new"), self._path(f"{self.root}/{name}")
         out = self._fs.create(new, True)
         out.write(bytearray(content.encode()))
         out.close()
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        self._rename(new, old)
+
+    def _rename(self, source, target) -> None:
+        jvm = self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, over)
 
     def current(self) -> dict | None:
         found = self._read("CURRENT")
@@ -69,18 +77,52 @@ class Store:
         """Rows of a table, -1 where it is absent."""
         return self.read(table).count() if self.has(table) else -1
 
+    def _create(self, path) -> bool:
+        """Make the marker; False if it is there already (one of several that try wins)."""
+        try:
+            out = self._fs.create(path, False)
+        except Py4JJavaError as e:
+            if self._fs.exists(path):
+                return False
+            raise e
+        out.write(bytearray(str(time.time()).encode()))
+        out.close()
+        return True
+
     def lock(self, stale_s: int = 20) -> bool:
         """Take the build marker; a marker whose heartbeat is older than ``stale_s`` seconds is taken over."""
         p = self._path(f"{self.root}/BUILDING")
-        if self._fs.exists(p) and time.time() * 1000 - self._fs.getFileStatus(p).getModificationTime() <= stale_s * 1000:
-            return False
-        self.beat()
-        return True
+        if self._create(p):
+            return True
+        with contextlib.suppress(Py4JJavaError):  # it may go meanwhile
+            if time.time() * 1000 - self._fs.getFileStatus(p).getModificationTime() <= stale_s * 1000:
+                return False
+            # of several that find it stale, one moves it away
+            self._fs.rename(p, self._path(f"{self.root}/BUILDING.{time.time_ns()}"))
+        return self._create(p)
 
     def beat(self) -> None:
-        out = self._fs.create(self._path(f"{self.root}/BUILDING"), True)
-        out.write(bytearray(str(time.time()).encode()))
-        out.close()
+        self._fs.setTimes(self._path(f"{self.root}/BUILDING"), int(time.time() * 1000), -1)
+
+    @contextlib.contextmanager
+    def building(self, every_s: float = 5.0, stale_s: int = 20) -> Iterator[None]:
+        """Hold the build marker and keep it fresh for as long as the build takes."""
+        if not self.lock(stale_s):
+            raise RuntimeError("another build is running")
+        done = threading.Event()
+
+        def run() -> None:
+            while not done.wait(every_s):
+                self.beat()
+
+        beats = threading.Thread(target=run, daemon=True)
+        beats.start()
+        try:
+            yield
+        finally:
+            done.set()
+            beats.join()
+            self.unlock()
 
     def unlock(self) -> None:
         self._fs.delete(self._path(f"{self.root}/BUILDING"), False)

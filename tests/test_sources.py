@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from quarrylens.plans import sqlguard
@@ -69,20 +71,57 @@ def test_parse_metadata(spark):
     assert metadata.split_handler("CommonModule.M.P") == ("M", "P") and metadata.split_handler("M.P") == (None, None)
 
 
-@pytest.mark.parametrize("bad", ["", "DROP TABLE t", "SELECT 1; SELECT 2", "SELECT 1 /* x */; DELETE FROM t", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM pragma_table_info('t')"])
-def test_guard_rejects(bad):
+BAD_SQL = [
+    "", "DROP TABLE t", "SELECT 1; SELECT 2", "SELECT 1 /* x */; DELETE FROM t", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM pragma_table_info('t')", "SET a = b", "SHOW TABLES", "EXPLAIN SELECT 1",
+    "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT java_method('java.lang.System', 'getenv')", "SELECT * FROM parquet.`/etc`", "SELECT * FROM text.`file:///etc/passwd`", "SELECT * FROM spark_catalog.default.t",
+    "WITH a AS (SELECT reflect('x', 'y') AS r) SELECT * FROM a", "SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/x`)", "SELECT (SELECT max(reflect('x', 'y')))", "SELECT 1 WHERE 1 IN (SELECT id FROM json.`/x`)", "SELECT input_file_name()", "SELECT * FROM VALUES (reflect('a', 'b'))", "SELECT upper(lower(try_reflect('a', 'b')))",
+]
+
+
+@pytest.mark.parametrize("bad", BAD_SQL)
+def test_guard_rejects(spark, bad):
     with pytest.raises(sqlguard.Rejected):
-        sqlguard.validate(bad)
+        sqlguard.validate(spark, bad)
 
 
-def test_guard_accepts_and_hints(spark):
-    assert sqlguard.validate("select created_at, 'drop table' as s, replace(a, 'x', 'y') from t -- delete\n;").startswith("select created_at")
+GOOD_SQL = [
+    "SELECT id, row_number() OVER (PARTITION BY id % 2 ORDER BY id) AS n FROM guard_t WHERE id IN (SELECT max(id) FROM guard_t) -- delete\n;", "WITH a AS (SELECT id, count(*) AS n FROM guard_t GROUP BY id HAVING count(*) > 0) SELECT a.id, b.n FROM a JOIN a AS b ON a.id = b.id ORDER BY 1 LIMIT 3",
+    "SELECT CASE WHEN id > 1 THEN 'drop table' ELSE replace('a', 'x', 'y') END AS s FROM guard_t UNION ALL SELECT 'z'", "SELECT x FROM (SELECT explode(array(1, 2)) AS x) LATERAL VIEW explode(array(x)) t AS y", "SELECT * FROM VALUES (1, 2), (3, 4) AS v(a, b)", "SELECT * FROM range(3)", "SELECT coalesce(sum(id), 0) AS s FROM guard_t WHERE EXISTS (SELECT 1)",
+]
+
+
+@pytest.mark.parametrize("good", GOOD_SQL)
+def test_guard_accepts(spark, good):
+    spark.range(3).createOrReplaceTempView("guard_t")
+    assert sqlguard.run(spark, good).count() >= 1
+
+
+def test_guard_hints(spark):
     spark.range(3).createOrReplaceTempView("guard_t")
     assert sqlguard.run(spark, "SELECT id FROM guard_t", 2).count() == 2
     with pytest.raises(sqlguard.Rejected, match="columns: guard_t: id"):
         sqlguard.run(spark, "SELECT nothing FROM guard_t")
 
 
+def test_the_marker_is_kept_fresh(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    with store.building(every_s=0.3):
+        assert not store.lock(stale_s=2)
+        time.sleep(3)
+        assert not store.lock(stale_s=2)  # older than that, but still beating
+    assert store.lock(stale_s=2) and not store.lock(stale_s=2)
+    time.sleep(2.5)
+    assert store.lock(stale_s=2)  # nobody beats it
+
+
+def test_paths_begin_below_the_whole_root(spark, tmp_path):
+    root = tmp_path / "src" / "x" / "src"
+    (root / "M").mkdir(parents=True)
+    (root / "M" / "Module.bsl").write_text("Procedure A()\nEndProcedure")
+    for name in (str(root), f"file://{root}/"):
+        assert [r.rel_path for r in modules.read_modules(spark, name).collect()] == ["M/Module.bsl"]
+
+
 def test_snapshot_is_swapped_whole(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     assert store.current() is None and store.count("a") == -1
