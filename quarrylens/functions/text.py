@@ -116,6 +116,58 @@ def normalize_type(ref: Column) -> Column:
     return F.regexp_replace(ref, r"^([A-Za-z]+?)(?:" + "|".join(TYPE_SUFFIXES) + r")\.", "$1.")
 
 
+#: Singular and reference-type heads of object names with their category; a head with a suffix names a type (fixed values).
+OBJECT_HEADS = {
+    "справочник": "Catalog", "документ": "Document", "перечисление": "Enum", "отчет": "Report", "обработка": "DataProcessor", "регистрсведений": "InformationRegister", "регистрнакопления": "AccumulationRegister",
+    "catalog": "Catalog", "document": "Document", "enum": "Enum", "report": "Report", "dataprocessor": "DataProcessor", "informationregister": "InformationRegister", "accumulationregister": "AccumulationRegister",
+}
+OBJECT_SUFFIXES = ("ссылка", "объект", "менеджер", "выборка", "список", "ref", "object", "manager", "selection", "list")
+
+
+def mentions(text: Column) -> Column:
+    """Objects that a literal or query names, as structs (object_ref, member, kind).
+
+    Words are cut at all that cannot stand in a name; the head before the first dot must name a category, alone (``query``,
+    with one member segment) or with a type suffix (``ref_type``), and an identifier must follow.
+    """
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}_.]+"), lambda w: F.contains(w, F.lit(".")))
+    suffix = "(?:" + "|".join(OBJECT_SUFFIXES) + ")"
+    heads = F.create_map(*[F.lit(x) for pair in OBJECT_HEADS.items() for x in pair])
+
+    def one(w: Column) -> Column:
+        parts = F.split(w, r"\.")
+        head = F.lower(parts[0])
+        typed = head.rlike(rf"^(?:{'|'.join(OBJECT_HEADS)}){suffix}$")
+        category = F.try_element_at(heads, F.when(typed, F.regexp_replace(head, rf"{suffix}$", "")).otherwise(head))
+        member = F.when(~typed & (F.size(parts) > 2) & (F.try_element_at(parts, F.lit(3)) != ""), F.try_element_at(parts, F.lit(3)))
+        ref = F.when(F.try_element_at(parts, F.lit(2)).rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"), F.concat(category, F.lit("."), parts[1]))
+        return F.struct(ref.alias("object_ref"), member.alias("member"), F.when(typed, "ref_type").otherwise("query").alias("kind"))
+
+    return F.filter(F.transform(words, one), lambda m: m["object_ref"].isNotNull())
+
+
+def json_strings(values: Column) -> Column:
+    """An array of strings as a JSON array; null elements stay null."""
+    return F.to_json(values)
+
+
+def strings_of_json(text: Column) -> Column:
+    """The strings of a JSON array; null where it is none."""
+    return F.from_json(text, "array<string>")
+
+
+def relative_to_source(path: Column, source: str) -> Column:
+    """A file's path below ``source``; a neighbour's (an extension's) begins with ``../``; others stay whole."""
+    root = source.rstrip("/")
+    above = root.rsplit("/", 1)[0]
+    return F.when(F.startswith(path, F.lit(root + "/")), F.substring(path, len(root) + 2, 1 << 30)).when(F.startswith(path, F.lit(above + "/")), F.concat(F.lit("../"), F.substring(path, len(above) + 2, 1 << 30))).otherwise(path)
+
+
+def extension_of(rel_path: Column) -> Column:
+    """Name of the extension that a relative path lies in: ``../ext/Name/...`` or ``../cfe/Name/...``; null for the base."""
+    return F.nullif(F.regexp_extract(rel_path, r"^\.\./(?:ext|cfe)/([^/]+)/", 1), F.lit(""))
+
+
 def literal_shape(text: Column) -> Column:
     """Letters to a, digits to 0, runs to one, separators kept."""
     out = F.regexp_replace(text, r"[\p{L}]+", "a")

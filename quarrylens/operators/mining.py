@@ -68,6 +68,73 @@ def required(found: DataFrame, least: int = 20, share: float = 0.85, elsewhere:
     return found.where((F.col("n_context") >= least) & (F.col("observed") >= share * F.col("n_context")) & (F.col("n_symbol") / F.col("total") < elsewhere))
 
 
+def avoided_within_roots(events: DataFrame, basket: str, symbol: str, context: str, root: Column, least: int = 30, least_context: int = 20) -> DataFrame:
+    """(root, symbol, context, observed, expected): symbols that baskets of a context avoid though they use the symbol's root.
+
+    What is expected in the context is the share of the root's other baskets that use the symbol.  Only (symbol, context) pairs of one root meet.
+    """
+    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(context).alias("context"), root.alias("root")).where("root IS NOT NULL").distinct()
+    n_root = rows.groupBy("root").agg(F.count_distinct("basket").alias("n_root"))
+    n_context = rows.groupBy("root", "context").agg(F.count_distinct("basket").alias("n_context")).where(F.col("n_context") >= least_context)
+    n_symbol = rows.groupBy("root", "symbol").agg(F.count_distinct("basket").alias("n_symbol")).where(F.col("n_symbol") >= least)
+    seen = rows.groupBy("root", "symbol", "context").agg(F.count_distinct("basket").alias("observed"))
+    grid = n_symbol.join(n_context, "root").join(n_root, "root").where("n_root > n_context").join(seen, ["root", "symbol", "context"], "left")
+    grid = grid.withColumn("observed", F.coalesce("observed", F.lit(0)))
+    grid = grid.withColumn("expected", F.col("n_context") * (F.col("n_symbol") - F.col("observed")) / (F.col("n_root") - F.col("n_context")))
+    return avoided(grid).select("root", "symbol", "context", "observed", "expected")
+
+
+def bracketed(events: DataFrame, basket: str, symbol: str, position: str, brackets: DataFrame) -> DataFrame:
+    """``events`` once for each block of their basket, with ``block`` and whether they stand ``inside``.
+
+    ``brackets``: (opening, closing) pairs of symbols; a block reaches from the first opening to the last closing symbol of a basket.
+    """
+    at = events.groupBy(F.col(basket).alias("__b"), F.col(symbol).alias("__s")).agg(F.min(position).alias("lo"), F.max(position).alias("hi"))
+    opens, closes = at.select("__b", F.col("__s").alias("opening"), F.col("lo").alias("__from")), at.select(F.col("__b").alias("__c"), F.col("__s").alias("__closing"), F.col("hi").alias("__to"))
+    spans = opens.join(F.broadcast(brackets), "opening").join(closes, (F.col("__b") == F.col("__c")) & (F.col("closing") == F.col("__closing"))).where("__to > __from")
+    spans = spans.select("__b", F.concat(F.lit("["), "opening", F.lit(".."), "closing", F.lit("]")).alias("block"), "__from", "__to")
+    found = events.join(spans, F.col(basket) == F.col("__b"))
+    return found.withColumn("inside", (F.col(position) > F.col("__from")) & (F.col(position) < F.col("__to"))).drop("__b", "__from", "__to")
+
+
+def block_contexts(events: DataFrame, basket: str, symbol: str, block: str, inside: str) -> DataFrame:
+    """(block, symbol, observed, expected, n, share): uses of a symbol inside a kind of block, against the share of all uses that stand inside.
+
+    Only baskets that hold such a block with something in it count.
+    """
+    live = events.where(F.col(inside)).select(F.col(basket).alias("__b"), F.col(block).alias("__k")).distinct()
+    rows = events.join(live, (F.col(basket) == F.col("__b")) & (F.col(block) == F.col("__k"))).select(F.col(block).alias("block"), F.col(symbol).alias("symbol"), F.col(inside).cast("long").alias("inside"))
+    per = rows.groupBy("block", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("inside").alias("observed"))
+    total = per.groupBy("block").agg(F.sum("n").alias("all_n"), F.sum("observed").alias("all_inside"))
+    return per.join(total, "block").select("block", "symbol", "observed", (F.col("n") * F.col("all_inside") / F.col("all_n")).alias("expected"), "n", (F.col("observed") / F.col("n")).alias("share"))
+
+
+def operator_usage(events: DataFrame, basket: str, symbol: str, directive: str) -> DataFrame:
+    """(symbol, directive, n_symbol, n_directive, observed, expected, total): baskets that use an operator, by directive; what is expected follows from the other directives."""
+    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(directive).alias("directive")).distinct()
+    n_directive = rows.groupBy("directive").agg(F.count_distinct("basket").alias("n_directive"))
+    n_symbol = rows.groupBy("symbol").agg(F.count_distinct("basket").alias("n_symbol"))
+    seen = rows.groupBy("symbol", "directive").agg(F.count(F.lit(1)).alias("observed"))
+    total = rows.agg(F.count_distinct("basket").alias("total"))
+    grid = n_symbol.crossJoin(F.broadcast(n_directive)).crossJoin(F.broadcast(total))  # directives are the few of the language
+    grid = grid.join(seen, ["symbol", "directive"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    expected = F.col("n_directive") * (F.col("n_symbol") - F.col("observed")) / F.greatest(F.col("total") - F.col("n_directive"), F.lit(1))
+    return grid.withColumn("expected", expected).select("symbol", "directive", "n_symbol", "n_directive", "observed", "expected", "total")
+
+
+def avoided_operators(usage: DataFrame, least_directive: int = 500, least: int = 30) -> DataFrame:
+    """Operators that a directive avoids."""
+    return avoided(usage.where((F.col("n_directive") >= least_directive) & (F.col("n_symbol") >= least)))
+
+
+def signature_diversity(events: DataFrame, basket: str, symbol: str) -> DataFrame:
+    """(symbol, baskets, signatures, diversity): distinct symbol sets among the baskets that use a symbol; copies of one body count once."""
+    sets = events.groupBy(F.col(basket).alias("basket")).agg(F.xxhash64(F.concat_ws("\x1f", F.array_sort(F.collect_set(F.col(symbol))))).alias("signature"))
+    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol")).distinct().join(sets, "basket")
+    per = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("baskets"), F.count_distinct("signature").alias("signatures"))
+    return per.withColumn("diversity", F.col("signatures") / F.col("baskets"))
+
+
 def avoided_directives(found: DataFrame, least: int = 500, share: float = 0.02) -> DataFrame:
     return found.where((F.col("n_context") >= least) & (F.col("observed") <= share * F.col("expected")))
 

@@ -87,3 +87,29 @@ def to_envelope(df: DataFrame, limit: int = 200) -> dict:
             values.pop()
         out.append(values)
     return {"columns": df.columns, "rows": out, "count": len(out), "truncated": len(rows) > limit}
+
+
+def ring_order(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (name, cluster, weight) with ``place`` on a ring: by cluster, weight descending, name.
+
+    Places are an offset of the cluster and a rank inside it, so that clusters are ranked apart.
+    """
+    sizes = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))  # few rows
+    ahead = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.col("y.cluster") < F.col("x.cluster"), "left").groupBy("x.cluster").agg(F.coalesce(F.sum("y.__n"), F.lit(0)).alias("__ahead"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "name"))
+    return nodes.withColumn("__r", rank).join(F.broadcast(ahead), "cluster").select("name", "cluster", "weight", (F.col("__r") + F.col("__ahead")).cast("long").alias("place"))
+
+
+def two_stage_top(hits: DataFrame, order: list[Column], first: int, keep: Column, dedupe: str, n: int) -> DataFrame:
+    """The ``first`` best hits; of those that pass ``keep`` the best of each ``dedupe`` value; the ``n`` best of these."""
+    best = hits.orderBy(*order).limit(first).where(keep)  # a top-k on every task, then at most ``first`` rows
+    one = best.withColumn("__k", F.row_number().over(Window.partitionBy(dedupe).orderBy(*order))).where("__k = 1").drop("__k")
+    return one.orderBy(*order).limit(n)
+
+
+def cut_across(rows: DataFrame, name: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows over all names with their place ``n`` and the full count ``of_name`` of their name."""
+    counts = rows.groupBy(F.col(name).alias("__name")).agg(F.count(F.lit(1)).alias("of_name"))
+    top = rows.orderBy(*order).limit(n)
+    placed = top.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows
+    return placed.join(counts, F.col(name) == F.col("__name")).drop("__name")

@@ -79,3 +79,10 @@ def file_stream(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
 def vanished(known: DataFrame, listed: DataFrame, key: str = "path") -> DataFrame:
     """Known files that a listing no longer shows: a file stream never tells of deletions."""
     return known.select(key).join(listed.select(F.col(key).alias("__l")), F.col(key) == F.col("__l"), "left_anti")
+
+
+def with_stale_mark(answer: DataFrame, changed: DataFrame) -> DataFrame:
+    """``answer`` with ``stale``: how many files changed since its snapshot; null, and so silent, if none did."""
+    n = F.col("__n")
+    mark = changed.agg(F.count(F.lit(1)).alias("__n")).select(F.when(n > 0, F.concat(F.lit("stale: "), n.cast("string"), F.lit(" files changed since"))).alias("stale"))
+    return answer.crossJoin(F.broadcast(mark))  # one row

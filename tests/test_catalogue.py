@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from quarrylens.plans import catalogue, more, registry  # noqa: F401
+from quarrylens.plans import catalogue, conventions, more, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
