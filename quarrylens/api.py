@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, matching, relational, resolve, search
+from .operators import graph, matching, relational, resolve, search, vectors
 from .plans import sqlguard
 from .sources.snapshot import Store
 
@@ -23,28 +24,49 @@ class Project:
     def edges(self) -> DataFrame:
         return self.table("calls").where("callee_key IS NOT NULL").select(F.col("caller_key").alias("src"), F.col("callee_key").alias("dst"))
 
-    def candidates(self, query: str) -> DataFrame:
-        """Methods, modules' objects and attributes whose name holds the query or one of its words, with the seven signals."""
+    def query_vector(self, tokens: list[str]) -> list[float]:
+        """The idf-weighted sum of a query's token vectors; unknown tokens weigh 1."""
+        rows = self.table("semantic_tokens").where(F.col("token").isin(tokens)).collect()  # a row for each word of the query at most
+        idf = {r["token"]: r["idf"] for r in rows}
+        total = sum((idf.get(t, 1.0) * vectors.random_index(t) for t in tokens), np.zeros(vectors.DIM))
+        return vectors.quantize(total).astype(float).tolist()
+
+    def candidates(self, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
+        """Names that hold the query or one of its words, those nearest to its vector, and those that hold its words as parts, with the seven signals.
+
+        The last two give three times the limit (30 to 300); vectors are left out where one kind is to be listed at length.
+        """
         tokens = [r[0] for r in self.spark.range(1).select(F.explode(T.tokenize_name(F.lit(query)))).collect()]
         idf = search.query_idf(self.table("semantic_tokens"), tokens).first()[0] if tokens else 1.0
-        near = lambda c: T.has(c, query) | (F.size(F.array_intersect(T.tokenize_name(c), F.array(*map(F.lit, tokens)).cast("array<string>"))) > 0)
+        wide = min(max(3 * limit, 30), 300)
+        named = self.table("semantic_vectors")
+        near = T.has(F.col("name"), query) | (F.size(F.array_intersect(T.tokenize_name(F.col("name")), F.array(*map(F.lit, tokens)).cast("array<string>"))) > 0)
         calls = self.edges().groupBy(F.col("dst").alias("__k")).agg(F.count(F.lit(1)).alias("degree"))
-        methods = self.table("methods").where(near(F.col("name"))).join(calls, F.col("method_key") == F.col("__k"), "left")
-        methods = methods.select(F.lit("method").alias("kind"), "name", F.col("rel_path").alias("payload"), F.lit(None).cast("string").alias("synonym_text"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        objects = self.table("object_attributes").where(near(F.col("object_name")) | near(F.col("attr_name"))).select(F.lit("attribute").alias("kind"), F.col("attr_name").alias("name"), F.col("object_name").alias("payload"), F.col("attr_synonym").alias("synonym_text"), F.lit(0).cast("long").alias("degree"))
-        found = methods.unionByName(objects)
-        return found.select(
-            "kind", "name", "payload", T.name_precision(F.col("name"), query).alias("exact"), F.coalesce(T.name_precision(F.col("synonym_text"), query), F.lit(0.0)).alias("synonym"),
-            T.lexical_weight(F.col("name"), tokens or [query]).cast("double").alias("bm25"), F.coalesce(T.overlap(T.ngrams(F.col("name")), F.lit([query.lower()[i : i + 3] for i in range(max(1, len(query) - 2))])), F.lit(0.0)).cast("double").alias("semantic"),
-            F.lit(float(idf)).alias("idf"), F.log1p("degree").alias("usage"), F.log1p("degree").alias("degree"),
-        )
+        called = self.table("methods").join(calls, F.col("method_key") == F.col("__k")).select(F.col("id").alias("__id"), "degree")
+        zero = F.lit(0.0)
+
+        def signals(rows: DataFrame, **own) -> DataFrame:
+            values = {"exact": T.name_precision(F.col("name"), query), "synonym": F.coalesce(T.name_precision(F.col("synonym"), query), zero), "bm25": zero, "semantic": zero, "idf": zero, "usage": zero, "degree": zero} | own
+            return rows.select("kind", "name", F.col("place").alias("payload"), *[c.cast("double").alias(n) for n, c in values.items()])
+
+        degree = F.log1p(F.coalesce("degree", F.lit(0)))
+        found = signals(named.where(near).join(called, F.col("id") == F.col("__id"), "left"), idf=F.lit(float(idf)), usage=degree, degree=degree)
+        if tokens and not (kind is not None and limit > 25):
+            q, v = F.array(*map(F.lit, self.query_vector(tokens))), F.col("vector")
+            score = F.when(vectors.dot(v, v) > 0, vectors.dot(v, q) / F.sqrt(vectors.dot(v, v)) / F.sqrt(vectors.dot(q, q))).otherwise(0.0)
+            best = named.withColumn("__s", score).orderBy(F.desc("__s"), "kind", "name", "place").limit(wide)
+            found = found.unionByName(signals(best, semantic=F.col("__s")))
+        text = F.concat_ws(" ", "name", "synonym")
+        parts = search.substring_bm25(named, text, query.split()).orderBy(F.desc("bm25"), "kind", "name", "place").limit(wide)
+        return found.unionByName(signals(parts, bm25=F.col("bm25")))
 
     def find(self, query: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
         """Ranked names: merged by (kind, name), fused, cut off, exact names first."""
-        found = self.candidates(query)
+        n = relational.clamp(limit, 20, 500)
+        found = self.candidates(query, kind, n)
         found = found if kind is None else found.where(F.col("kind") == kind)
         ranked = search.cut_off(search.fuse(relational.collapse_namesakes(found, list(search.WEIGHTS))))
-        return ranked.orderBy(F.desc("score"), F.octet_length("name"), "name").select("kind", "name", F.col("payload").alias("place"), F.round("score", 3).alias("score"), "reason", "others").limit(relational.clamp(limit, 20, 500))
+        return ranked.orderBy(F.desc("score"), F.octet_length("name"), "name").select("kind", "name", F.col("payload").alias("place"), F.round("score", 3).alias("score"), "reason", "others").limit(n)
 
     def object_card(self, name: str) -> dict[str, DataFrame]:
         """Sections of an object; ``similar`` names it where the object is unknown."""
@@ -53,6 +75,7 @@ class Project:
         return {
             "attributes": own,
             "rights": self.table("role_rights").join(own.select(full.alias("__f")).distinct(), (F.col("object_name") == F.col("__f")) | F.col("object_name").startswith(F.concat(F.col("__f"), F.lit("."))), "left_semi"),
+            "predefined": self.table("predefined_items").where(T.same(F.col("owner"), name)),
             "used_by": self.table("metadata_references").join(own.select(full.alias("__f")).distinct(), F.col("ref_object") == F.col("__f"), "left_semi"),
             "subscriptions": self.table("event_subscriptions").where(F.exists("sources", lambda s: F.lower(s).endswith(f".{name.lower()}"))),
             "similar": search.similar_names(self.table("object_attributes"), "object_name", name),

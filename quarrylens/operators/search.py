@@ -59,6 +59,28 @@ def bm25(docs: DataFrame, id_col: str, weights: dict[str, float], terms: list[st
     return joined.groupBy("id").agg(F.sum(F.col("weight") * score).alias("score"), matched.cast("long").alias("matched")).where(F.col("matched") >= least)
 
 
+def substring_bm25(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
+    """``docs`` that hold all terms as parts of ``text``, with ``bm25``: each term counts as one phrase of trigrams, of which a text has two fewer than letters.
+
+    Terms of fewer than three letters have no trigram and match nothing.  Corpus statistics are one aggregate row.
+    """
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    low = F.lower(text)
+    tf = [((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("double") for t in wanted]
+    size = F.greatest(F.length(low) - 2, F.lit(0)).cast("double")
+    stats = docs.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg(size).alias("__avg"), *[F.count_if(f > 0).cast("double").alias(f"__df{i}") for i, f in enumerate(tf)])
+    if not wanted or any(len(t) < 3 for t in wanted):
+        return docs.where(F.lit(False)).withColumn("bm25", F.lit(0.0))
+    held = docs
+    for f in tf:
+        held = held.where(f > 0)
+    score = F.lit(0.0)
+    for i, f in enumerate(tf):
+        df = F.col(f"__df{i}")
+        score = score + F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / F.col("__avg")))
+    return held.crossJoin(F.broadcast(stats)).withColumn("bm25", score).drop("__n", "__avg", *[f"__df{i}" for i in range(len(wanted))])
+
+
 def _equals(term: str):
     return lambda w: w == term
 

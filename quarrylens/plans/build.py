@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import resolve, search
+from ..operators import resolve, search, vectors
 from ..sources import metadata, modules
 from ..sources.snapshot import Store
 
@@ -15,9 +15,10 @@ def module_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     files = modules.read_modules(spark, root)
     parts = modules.classify_path(F.col("rel_path"))
     mods = files.select("rel_path", F.octet_length("content").cast("long").alias("size"), *[c.alias(n) for n, c in parts.items()]).withColumn("id", F.xxhash64("rel_path"))
-    methods = modules.parse(files, "methods").withColumn("module_id", F.xxhash64("rel_path")).withColumn("method_key", resolve.method_key(F.col("rel_path"), F.col("name"))).withColumn("id", F.xxhash64("rel_path", "name", "line"))
-    regions = modules.parse(files, "regions").withColumn("module_id", F.xxhash64("rel_path"))
-    calls = modules.parse(files, "calls").withColumn("caller_module", F.col("rel_path"))
+    parsed = modules.parse_all(files)
+    methods = parsed["methods"].withColumn("module_id", F.xxhash64("rel_path")).withColumn("method_key", resolve.method_key(F.col("rel_path"), F.col("name"))).withColumn("id", F.xxhash64("rel_path", "name", "line"))
+    regions = parsed["regions"].withColumn("module_id", F.xxhash64("rel_path"))
+    calls = parsed["calls"].withColumn("caller_module", F.col("rel_path"))
     common = mods.select(F.col("rel_path").alias("module"), F.when(F.col("category") == "CommonModules", F.col("object_name")).alias("common_name"))
     resolved = resolve.resolve(calls, methods.select(F.col("rel_path").alias("module"), "name", "is_export"), common)
     resolved = resolved.withColumn("caller_key", resolve.method_key(F.col("rel_path"), F.col("caller")))
@@ -25,19 +26,34 @@ def module_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def metadata_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    files = metadata.read_xml(spark, root)
-    attributes = metadata.parse(files, "attributes")
+    parsed = metadata.parse_all(metadata.read_xml(spark, root))
+    attributes = parsed["attributes"]
     references = attributes.select(F.col("object_name").alias("source_object"), F.col("category").alias("source_category"), F.explode("attr_types").alias("type"), F.col("attr_name").alias("used_in"), "file")
     references = references.withColumn("ref_object", T.normalize_type(F.col("type"))).where(F.contains("ref_object", F.lit("."))).withColumn("ref_kind", F.lit("attribute_type")).drop("type")
     return {
-        "object_attributes": attributes, "role_rights": metadata.parse(files, "rights"), "form_elements": metadata.parse(files, "forms"), "dcs_datasets": metadata.parse(files, "datasets"),
-        "event_subscriptions": metadata.parse(files, "handlers"), "metadata_references": references,
+        "object_attributes": attributes, "role_rights": parsed["rights"], "form_elements": parsed["forms"], "dcs_datasets": parsed["datasets"],
+        "event_subscriptions": parsed["handlers"], "metadata_references": references, "predefined_items": parsed["predefined"], "parse_errors": parsed["errors"],
     }
 
 
-def semantic_tables(methods: DataFrame) -> dict[str, DataFrame]:
-    tokens = methods.select("id", F.explode(T.tokenize_name(F.col("name"))).alias("token"))
-    return {"semantic_tokens": search.token_idf(tokens, "id", "token")}
+def named_entities(methods: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(id, kind, name, place, synonym): everything that has a name."""
+    none = F.lit(None).cast("string")
+    objects = attributes.groupBy("object_name").agg(F.min("category").alias("place"))
+    return (
+        methods.select("id", F.lit("method").alias("kind"), "name", F.col("rel_path").alias("place"), none.alias("synonym"))
+        .unionByName(attributes.select(F.xxhash64("file", "ts_name", "attr_name").alias("id"), F.lit("attribute").alias("kind"), F.col("attr_name").alias("name"), F.col("object_name").alias("place"), F.col("attr_synonym").alias("synonym")))
+        .unionByName(objects.select(F.xxhash64(F.lit("object"), "object_name").alias("id"), F.lit("object").alias("kind"), F.col("object_name").alias("name"), "place", none.alias("synonym")))
+    )
+
+
+def semantic_tables(methods: DataFrame, attributes: DataFrame) -> dict[str, DataFrame]:
+    """Token weights, and a quantised vector for everything that has a name."""
+    named = named_entities(methods, attributes)
+    tokens = named.select("id", F.explode(T.tokenize_name(F.concat_ws(" ", "name", "synonym"))).alias("token"))
+    idf = search.token_idf(tokens, "id", "token")
+    made = vectors.entity_vectors(tokens, "id", "token", idf).withColumnRenamed("entity", "__id")
+    return {"semantic_tokens": idf, "semantic_vectors": named.join(made, F.col("id") == F.col("__id")).drop("__id")}
 
 
 def build(spark: SparkSession, source: str, index: str, commit: str | None = None) -> Store:
@@ -45,6 +61,6 @@ def build(spark: SparkSession, source: str, index: str, commit: str | None = Non
     store = Store(spark, index)
     with store.building():
         tables = module_tables(spark, source) | metadata_tables(spark, source)
-        tables |= semantic_tables(tables["methods"])
+        tables |= semantic_tables(tables["methods"], tables["object_attributes"])
         store.write(tables, {"source_path": source, "git_commit": commit, "incremental": 0})
     return store

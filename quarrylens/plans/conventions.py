@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import mining, relational
+from ..operators import mining, relational, search
 from ..streaming import incremental
 from .registry import query
 
@@ -107,3 +107,12 @@ def stale_mark(t):
     """An answer carries a mark only if files changed after its snapshot; silence means fresh."""
     answer = t.orders.agg(F.count(F.lit(1)).alias("n")).select(F.lit("snapshot 7").alias("answer_of"), "n")
     return incremental.with_stale_mark(answer, t.orders.where("o_orderstatus = 'P'").select("o_orderkey"))
+
+
+@query("""WITH d AS (SELECT p_partkey, p_name, lower(p_name || ' ' || p_type) AS t FROM part), c AS (SELECT *, (length(t) - length(replace(t, 'ring', '')))::DOUBLE / 4 AS a, (length(t) - length(replace(t, 'steel', '')))::DOUBLE / 5 AS b, greatest(length(t) - 2, 0)::DOUBLE AS len FROM d),
+ s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS m, count(*) FILTER (a > 0)::DOUBLE AS da, count(*) FILTER (b > 0)::DOUBLE AS db FROM c)
+ SELECT p_partkey, p_name, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / m)), 6) AS bm25 FROM c, s WHERE a > 0 AND b > 0""")
+def substring_scores(t):
+    """BM25 of phrases of trigrams over names and their synonyms."""
+    found = search.substring_bm25(t.part, F.concat_ws(" ", "p_name", "p_type"), ["Ring", "steel"])
+    return found.select("p_partkey", "p_name", F.round("bm25", 6).alias("bm25"))

@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .onepass import tables
+
 ATTRIBUTES = "file string, object_name string, category string, attr_name string, attr_synonym string, attr_types array<string>, attr_kind string, ts_name string, length bigint, precision bigint, scale bigint"
 RIGHTS = "file string, role_name string, object_name string, right_name string"
 FORMS = "file string, kind string, scope string, element_name string, event string, handler string, data_path string"
 DATASETS = "file string, dataset string, kind string, parent string, query string"
+PREDEFINED = "file string, owner string, category string, name string, code string, description string, is_folder boolean, types array<string>"
+ERRORS = "file string, reason string"
 HANDLERS = "file string, name string, event string, handler_module string, handler_procedure string, sources array<string>"
 
 #: XML Schema types in the dump's own names (fixed values).
@@ -135,7 +139,22 @@ def handlers(root: ET.Element, file: str) -> Iterator[tuple]:
         yield (file, text_of(child(p, "Name")), text_of(child(p, "Event")), module, procedure, [t.partition(":")[2] or t for t in found if t])
 
 
-PARSERS = {"attributes": (attributes, ATTRIBUTES), "rights": (rights, RIGHTS), "forms": (form_elements, FORMS), "datasets": (datasets, DATASETS), "handlers": (handlers, HANDLERS)}
+def predefined(root: ET.Element, file: str) -> Iterator[tuple]:
+    """Predefined items of an object, folders and what lies in them alike; the owner follows from the path ``.../Catalogs/X/Ext/Predefined.xml``."""
+    if not file.endswith("Predefined.xml"):
+        return
+    path = file.split("/")
+    owner, category = (path[-3], path[-4]) if len(path) > 3 and path[-2] == "Ext" else (None, None)
+    for item in root.iter():
+        if tag_of(item) != "Item":
+            continue
+        name, kind = text_of(child(item, "Name")), child(item, "Type")
+        found = [text_of(e) for e in kind.iter() if e is not kind or not len(kind)] if kind is not None else []
+        if name:
+            yield (file, owner, category, name, text_of(child(item, "Code")), text_of(child(item, "Description")), (text_of(child(item, "IsFolder")) or "").lower() == "true", [t.partition(":")[2] or t for t in found if t])
+
+
+PARSERS = {"predefined": (predefined, PREDEFINED), "attributes": (attributes, ATTRIBUTES), "rights": (rights, RIGHTS), "forms": (form_elements, FORMS), "datasets": (datasets, DATASETS), "handlers": (handlers, HANDLERS)}
 
 
 def read_xml(spark: SparkSession, root: str) -> DataFrame:
@@ -165,6 +184,23 @@ def parse(files: DataFrame, what: str) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+def parse_all(files: DataFrame) -> dict[str, DataFrame]:
+    """All tables of ``PARSERS`` from one pass over (file, content), and ``errors`` (file, reason) of files that are no XML."""
+
+    def rows_of(row: tuple) -> Iterator[tuple[str, tuple]]:
+        file, content = row
+        try:
+            root = ET.fromstring(content)
+        except ET.ParseError as e:
+            yield "errors", (file, str(e))
+            return
+        for name, (parser, _) in PARSERS.items():
+            for found in parser(root, file):
+                yield name, found
+
+    return tables(files.select("file", "content"), {name: schema for name, (_, schema) in PARSERS.items()} | {"errors": ERRORS}, rows_of)
+
+
 def query_sources(query):
     """Array of (object_ref, kind) that a query's text names: VALUE(...) constants, the rest sources; comments do not count."""
     bare = F.regexp_replace(query, r"//[^\n]*", " ")

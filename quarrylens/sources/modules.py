@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .onepass import tables
+
 #: Words of the language, in both spellings (fixed values).
 BEGIN = {"procedure": "Procedure", "function": "Function", "процедура": "Procedure", "функция": "Function"}
 END = {"endprocedure", "endfunction", "конецпроцедуры", "конецфункции"}
@@ -178,6 +180,21 @@ def parse(modules: DataFrame, what: str) -> DataFrame:
     return modules.select("rel_path", "content").mapInPandas(run, schema)
 
 
+def parse_all(modules: DataFrame) -> dict[str, DataFrame]:
+    """``methods``, ``calls`` and ``regions`` from one pass over (rel_path, content)."""
+    schemas = {"methods": METHODS, "calls": CALLS, "regions": REGIONS}
+    names = {k: [f.strip().split()[0] for f in s.split(",")] for k, s in schemas.items()}
+
+    def rows_of(row: tuple) -> Iterator[tuple[str, tuple]]:
+        path, content = row
+        text = normalize_source(content) if isinstance(content, (bytes, bytearray)) else content or ""
+        for table, rows in parse_module(text).items():
+            for r in rows:
+                yield table, (path, *[r.get(k) for k in names[table][1:]]) if isinstance(r, dict) else (path, *r)
+
+    return tables(modules.select("rel_path", "content"), schemas, rows_of)
+
+
 #: Folder of a dump to its metadata kind (fixed values).
 KIND_OF_CATEGORY = {
     "AccountingRegisters": "AccountingRegister", "AccumulationRegisters": "AccumulationRegister", "BusinessProcesses": "BusinessProcess", "CalculationRegisters": "CalculationRegister",

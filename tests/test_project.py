@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.api import Project, across
 from quarrylens.plans.build import build
@@ -21,10 +22,14 @@ EndProcedure
 """
 
 
+PREDEFINED = """<PredefinedData xmlns:v8="u"><Item><Name>Group</Name><Code>01</Code><IsFolder>true</IsFolder><ChildItems><Item><Name>Main</Name><Code>02</Code><Description>The main one</Description>
+<Type><v8:Type>d4p1:EnumRef.X</v8:Type></Type><IsFolder>false</IsFolder></Item></ChildItems></Item><Item><Code>03</Code></Item></PredefinedData>"""
+
+
 @pytest.fixture(scope="module")
 def project(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("dump")
-    for path, text in {"CommonModules/Tools/Ext/Module.bsl": TOOLS, "Catalogs/Goods/Forms/Item/Ext/Form/Module.bsl": FORM, "Catalogs/Goods.xml": XML}.items():
+    for path, text in {"CommonModules/Tools/Ext/Module.bsl": TOOLS, "Catalogs/Goods/Forms/Item/Ext/Form/Module.bsl": FORM, "Catalogs/Goods.xml": XML, "Catalogs/Goods/Ext/Predefined.xml": PREDEFINED, "Catalogs/Broken.xml": "<a>"}.items():
         file = root / "src" / path
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(text)
@@ -40,6 +45,25 @@ def test_built_tables(project):
     assert (row.total, row.resolved, row.resolvable) == (5, 3, 4)
 
 
+def test_signals_of_find(project):
+    """Vectors and phrases find what the words of the name do not say; each signal comes from its own source."""
+    rows = {(r.kind, r.name): r for r in project.candidates("Tools.Do Inner").groupBy("kind", "name").agg(*[F.max(c).alias(c) for c in ("exact", "bm25", "semantic", "idf", "degree")]).collect()}
+    assert rows["method", "Inner"].semantic > 0.3 and rows["method", "Inner"].idf > 0 and rows["method", "Inner"].degree > 0
+    assert rows["method", "OnOpen"].semantic < rows["method", "Inner"].semantic
+    parts = {(r.kind, r.name) for r in project.candidates("nne").where("bm25 > 0").collect()}
+    assert parts == {("method", "Inner")}
+    assert project.candidates("nn").where("bm25 > 0").count() == 0
+    assert project.candidates("Inner", "method", 100).where("semantic > 0").count() == 0
+    vectors = project.table("semantic_vectors").collect()
+    assert {(r.kind, r.name) for r in vectors} == {("method", "Do"), ("method", "Inner"), ("method", "OnOpen"), ("object", "Goods"), ("attribute", "Code"), ("attribute", "Qty")} and all(len(r.vector) == 1024 for r in vectors)
+
+
+def test_predefined_items_and_unreadable_files(project):
+    got = {r.name: (r.owner, r.category, r.code, r.is_folder, r.types) for r in project.table("predefined_items").collect()}
+    assert got == {"Group": ("Goods", "Catalogs", "01", True, []), "Main": ("Goods", "Catalogs", "02", False, ["EnumRef.X"])}
+    assert [r.file.rsplit("/", 1)[1] for r in project.table("parse_errors").collect()] == ["Broken.xml"]
+
+
 def test_questions(project, spark):
     assert {(r.name, r.hop) for r in project.callers("inner").collect()} == {("Do", 1), ("OnOpen", 2)}
     assert project.impact("Do").first().risk == "medium"
