@@ -80,8 +80,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-_RULE_BITS = " + ".join(f"CASE WHEN {r.predicate} THEN {1 << r.bit} ELSE 0 END" for r in quality_rules.RULES)
-
 #: SQL for the queries that SQL can express; tests hold the others against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -94,7 +92,7 @@ ORACLE_SQL: dict[str, str] = {
   len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_bang_words, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND strlen(x) > 1)) AS n_upper_words,
   len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_adjacent_repeats, len(list_filter(ws, lambda x: regexp_full_match(x, '[#*$%&|<>]+'))) AS n_bare_symbol_words FROM w LEFT JOIN c ON c.r = w.r)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits
- FROM (SELECT *, """
-    + _RULE_BITS
-    + " AS bits FROM m)",
+ FROM (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+  + CASE WHEN 100 * n_bang_words > 3 * n_words THEN 8 ELSE 0 END + CASE WHEN n_words >= 20 AND 100 * n_upper_words > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_adjacent_repeats > 12 * n_words THEN 32 ELSE 0 END
+  + CASE WHEN 100 * n_bare_symbol_words > 3 * n_words THEN 64 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 128 ELSE 0 END + CASE WHEN n_words > 0 AND (word_chars > 15 * n_words OR 2 * word_chars < 5 * n_words) THEN 256 ELSE 0 END AS bits FROM m)""",
 }
