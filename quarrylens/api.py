@@ -39,7 +39,7 @@ class Project:
         tokens = [r[0] for r in self.spark.range(1).select(F.explode(T.tokenize_name(F.lit(query)))).collect()]
         idf = search.query_idf(self.table("semantic_tokens"), tokens).first()[0] if tokens else 1.0
         wide = min(max(3 * limit, 30), 300)
-        named = self.table("semantic_vectors")
+        named = self.store.kept("semantic_vectors")
         near = T.has(F.col("name"), query) | (F.size(F.array_intersect(T.tokenize_name(F.col("name")), F.array(*map(F.lit, tokens)).cast("array<string>"))) > 0)
         calls = self.edges().groupBy(F.col("dst").alias("__k")).agg(F.count(F.lit(1)).alias("degree"))
         called = self.table("methods").join(calls, F.col("method_key") == F.col("__k")).select(F.col("id").alias("__id"), "degree")

@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import resolve, search, vectors
-from ..sources import metadata, modules
+from ..sources import extensions, metadata, modules
 from ..sources.snapshot import Store
+from ..streaming import incremental
 
 
-def module_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    files = modules.read_modules(spark, root)
-    parts = modules.classify_path(F.col("rel_path"))
-    mods = files.select("rel_path", F.octet_length("content").cast("long").alias("size"), *[c.alias(n) for n, c in parts.items()]).withColumn("id", F.xxhash64("rel_path"))
+def module_rows(files: DataFrame) -> dict[str, DataFrame]:
+    """What single modules hold, calls unresolved: every table is keyed by ``rel_path``."""
+    parts = modules.classify_path(F.col("inner_path"))
+    mods = files.select("rel_path", "extension", F.octet_length("content").cast("long").alias("size"), *[c.alias(n) for n, c in parts.items()]).withColumn("id", F.xxhash64("rel_path"))
     parsed = modules.parse_all(files)
     methods = parsed["methods"].withColumn("module_id", F.xxhash64("rel_path")).withColumn("method_key", resolve.method_key(F.col("rel_path"), F.col("name"))).withColumn("id", F.xxhash64("rel_path", "name", "line"))
     regions = parsed["regions"].withColumn("module_id", F.xxhash64("rel_path"))
-    calls = parsed["calls"].withColumn("caller_module", F.col("rel_path"))
-    common = mods.select(F.col("rel_path").alias("module"), F.when(F.col("category") == "CommonModules", F.col("object_name")).alias("common_name"))
+    return {"modules": mods, "methods": methods, "regions": regions, "calls": parsed["calls"]}
+
+
+def resolved_calls(rows: dict[str, DataFrame]) -> DataFrame:
+    mods, methods = rows["modules"], rows["methods"]
+    calls = rows["calls"].withColumn("caller_module", F.col("rel_path"))
+    common = mods.select(F.col("rel_path").alias("module"), "extension", F.when(F.col("category") == "CommonModules", F.col("object_name")).alias("common_name"))
     resolved = resolve.resolve(calls, methods.select(F.col("rel_path").alias("module"), "name", "is_export"), common)
     resolved = resolved.withColumn("caller_key", resolve.method_key(F.col("rel_path"), F.col("caller")))
-    return {"modules": mods, "methods": methods, "regions": regions, "calls": resolved.drop("caller_module")}
+    return resolved.drop("caller_module")
+
+
+def module_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    rows = module_rows(extensions.read_modules(spark, root))
+    return rows | {"calls": resolved_calls(rows)}
 
 
 def metadata_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -64,3 +75,25 @@ def build(spark: SparkSession, source: str, index: str, commit: str | None = Non
         tables |= semantic_tables(tables["methods"], tables["object_attributes"])
         store.write(tables, {"source_path": source, "git_commit": commit, "incremental": 0})
     return store
+
+
+def update(spark: SparkSession, source: str, index: str, changed: DataFrame, commit: str | None = None) -> Store:
+    """A snapshot in which the rows of the changed modules (``rel_path``) are those of their files now; a file that is gone leaves no rows.
+
+    Only changed files are read and parsed.  All calls are resolved again, since a name that appears or goes changes calls of other
+    modules; names, weights and vectors follow the new methods.
+    """
+    store = Store(spark, index)
+    with store.building():
+        now = store.current()
+        if now is None:
+            raise incremental.Refused("there is no snapshot to update")
+        keys = changed.select("rel_path").distinct()
+        files = extensions.read_modules(spark, source).join(F.broadcast(keys), "rel_path", "left_semi") if keys.limit(10_001).count() <= 10_000 else extensions.read_modules(spark, source).join(keys, "rel_path", "left_semi")
+        fresh = module_rows(files)
+        old = {t: store.read(t) for t in now["tables"]}
+        rows = {t: incremental.upsert(old[t].select(fresh[t].columns), fresh[t], "rel_path", keys) for t in fresh}
+        tables = old | rows | {"calls": resolved_calls(rows)}
+        tables |= semantic_tables(tables["methods"], tables["object_attributes"])
+        store.write(tables, {"source_path": source, "git_commit": commit or now.get("git_commit"), "incremental": now.get("incremental", 0) + 1})
+    return store

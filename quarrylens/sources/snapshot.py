@@ -9,8 +9,12 @@ import time
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that ``Store.kept`` holds in memory at once, the least recently used goes first.
+KEEP = 4
+_kept: dict[tuple[str, str | None, str], DataFrame] = {}
 SCHEMA_VERSION = 7
 MIN_READABLE = 1
 
@@ -73,6 +77,28 @@ class Store:
         for table in (self.current() or {"tables": []})["tables"]:
             self.read(table).createOrReplaceTempView(table)
 
+    def kept(self, table: str) -> DataFrame:
+        """A table of the current snapshot, kept in memory until another snapshot is current or more than ``KEEP`` tables are kept."""
+        key = (self.root, (self.current() or {}).get("snapshot"), table)
+        if key not in _kept:
+            for old in [k for k in _kept if k[0] == self.root and k[1] != key[1]] + list(_kept)[: max(0, len(_kept) - KEEP + 1)]:
+                if old in _kept:
+                    _kept.pop(old).unpersist()
+            _kept[key] = self.read(table).persist(StorageLevel.MEMORY_AND_DISK)
+        _kept[key] = _kept.pop(key)  # the last one used goes last
+        return _kept[key]
+
+    def sidecar(self, name: str, df: DataFrame) -> str:
+        """``df`` as JSON lines beside the snapshots, whole or not at all: written under another name, then swapped in by a pointer file."""
+        folder = f"{name}-{time.time_ns()}"
+        df.write.json(f"{self.root}/{folder}")
+        self._replace(f"{name}.current", folder)
+        return f"{self.root}/{folder}"
+
+    def read_sidecar(self, name: str, schema: str) -> DataFrame | None:
+        folder = self._read(f"{name}.current")
+        return self.spark.read.schema(schema).json(f"{self.root}/{folder}") if folder else None
+
     def count(self, table: str) -> int:
         """Rows of a table, -1 where it is absent."""
         return self.read(table).count() if self.has(table) else -1

@@ -1,8 +1,11 @@
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.api import Project, across
-from quarrylens.plans.build import build
+from quarrylens.plans.build import build, update
+from quarrylens.sources import extensions
 from tests.test_sources import XML
 
 TOOLS = """Procedure Do(A) Export
@@ -77,3 +80,45 @@ def test_questions(project, spark):
     assert project.sql("SELECT count(*) AS n FROM methods").first().n == 3
     out = across({"a": project, "b": Project(spark, "file:///nonexistent/index")}, lambda p: p.coverage())
     assert out["a"].count() == 1 and isinstance(out["b"], Exception)
+
+
+MANIFEST = "<MetaDataObject><Configuration uuid='1'><Properties><Name>Patch</Name><NamePrefix>p_</NamePrefix></Properties></Configuration></MetaDataObject>"
+
+
+def test_extensions_and_updates(spark, tmp_path):
+    """The base's module keeps its name, an extension's takes a free one; an update reads the changed modules only and equals a build."""
+    files = {
+        "src/CommonModules/Tools/Ext/Module.bsl": TOOLS, "src/Catalogs/Goods/Forms/Item/Ext/Form/Module.bsl": FORM, "src/Catalogs/Goods.xml": XML,
+        "ext/P/Configuration.xml": MANIFEST, "ext/P/CommonModules/Tools/Ext/Module.bsl": "Procedure Other() Export\nEndProcedure", "ext/P/CommonModules/More/Ext/Module.bsl": "Procedure Go() Export\n  Tools.Do(1);\n  More.Go();\nEndProcedure",
+        "cfe/Configuration.xml": "<broken", "cfe/CommonModules/Lone/Ext/Module.bsl": "Procedure One() Export\nEndProcedure",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = {r.extension: (r.name_prefix, r.rel_root) for r in extensions.discover(spark, str(tmp_path / "src")).collect()}
+    assert found == {"Patch": ("p_", "../ext/P"), "cfe": (None, "../cfe")}
+    index = f"file://{tmp_path}/index"
+    store = build(spark, str(tmp_path / "src"), index)
+    own = {r.rel_path: (r.category, r.object_name, r.extension) for r in store.read("modules").collect()}
+    assert own["../ext/P/CommonModules/More/Ext/Module.bsl"] == ("CommonModules", "More", "Patch") and own["../cfe/CommonModules/Lone/Ext/Module.bsl"] == ("CommonModules", "Lone", "cfe")
+    keys = {r.callee_name: r.callee_key for r in store.read("calls").where("rel_path LIKE '%More%'").collect()}
+    assert keys == {"Tools.Do": "CommonModules/Tools/Ext/Module.bsl::do", "More.Go": "../ext/P/CommonModules/More/Ext/Module.bsl::go"}
+
+    (tmp_path / "src/CommonModules/Tools/Ext/Module.bsl").write_text("Procedure Nothing() Export\nEndProcedure")
+    (tmp_path / "cfe/CommonModules/Lone/Ext/Module.bsl").unlink()
+    (tmp_path / "src/CommonModules/New/Ext").mkdir(parents=True)
+    (tmp_path / "src/CommonModules/New/Ext/Module.bsl").write_text("Procedure A()\n  Tools.Nothing();\nEndProcedure")
+    changed = spark.createDataFrame([("CommonModules/Tools/Ext/Module.bsl",), ("../cfe/CommonModules/Lone/Ext/Module.bsl",), ("CommonModules/New/Ext/Module.bsl",)], "rel_path string")
+    updated = update(spark, str(tmp_path / "src"), index, changed)
+    whole = build(spark, str(tmp_path / "src"), f"file://{tmp_path}/other")
+    for name in ("modules", "methods", "regions", "calls", "semantic_tokens", "semantic_vectors"):
+        rows = [collections.Counter(map(str, s.read(name).select(sorted(s.read(name).columns)).collect())) for s in (updated, whole)]
+        assert rows[0] == rows[1] and rows[0], name
+    assert updated.current()["incremental"] == 1
+    assert {r.callee_key for r in updated.read("calls").where("callee_name = 'Tools.Nothing'").collect()} == {"CommonModules/Tools/Ext/Module.bsl::nothing"}
+    assert updated.read("calls").where("callee_name = 'Tools.Do' AND callee_key IS NOT NULL").count() == 0
+    kept = updated.kept("methods")
+    assert updated.kept("methods") is kept and kept.storageLevel.useMemory
+    updated.sidecar("practices", spark.range(3))
+    updated.sidecar("practices", spark.range(5))
+    assert updated.read_sidecar("practices", "id long").count() == 5 and updated.read_sidecar("none", "id long") is None
