@@ -43,10 +43,11 @@ def pair_relations(events: DataFrame, basket: str, symbol: str, position: str, s
     ).where(F.col("n") >= support)
 
 
-def contexts(events: DataFrame, basket: str, symbol: str, context: str, least: int) -> DataFrame:
+def contexts(events: DataFrame, basket: str, symbol: str, context: str, least: int, least_expected: float = 0.0) -> DataFrame:
     """(symbol, context, observed, expected, n_symbol, n_context, total) for every frequent symbol in every context; unseen pairs count 0.
 
-    Contexts are few (directives, module kinds); their table is checked to be small before it is broadcast.
+    Contexts are few (directives, module kinds); their table is checked to be small before it is broadcast.  Pairs of which less than
+    ``least_expected`` is expected (an avoidance needs 6.9) go before the counts are joined.
     """
     rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(context).alias("context")).distinct()
     in_context = rows.groupBy("context").agg(F.count_distinct("basket").alias("n_context"))
@@ -55,6 +56,7 @@ def contexts(events: DataFrame, basket: str, symbol: str, context: str, least: i
     seen = rows.groupBy("symbol", "context").agg(F.count_distinct("basket").alias("observed"))
     few = in_context.limit(10_001).count() <= 10_000
     grid = of_symbol.crossJoin(F.broadcast(in_context) if few else in_context).crossJoin(F.broadcast(total))
+    grid = grid.where(F.col("n_symbol") * F.col("n_context") >= least_expected * F.col("total"))
     full = grid.join(seen, ["symbol", "context"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     return full.withColumn("expected", F.col("n_symbol") * F.col("n_context") / F.col("total"))
 
@@ -214,6 +216,31 @@ def sequences(events: DataFrame, basket: str, symbol: str, position: str, width:
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("baskets")).where(F.col("baskets") >= least)
 
 
+class TooMany(RuntimeError):
+    """More distinct fragments than a profile may hold; nothing is returned."""
+
+
+def fragments(events: DataFrame, module: str, basket: str, symbol: str, position: str, context: Column, widths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(family, context, signature, module, basket): runs of symbols of each width, and the symbol that each basket begins with."""
+    order = Window.partitionBy(basket).orderBy(position, symbol)
+    rows = events.select(F.col(module).alias("module"), F.col(basket).alias("basket"), context.alias("context"), F.col(symbol).alias("s0"), *[F.lead(symbol, i).over(order).alias(f"s{i}") for i in range(1, max(widths))], F.row_number().over(order).alias("__rn"))
+    runs = F.array(*[F.when(F.col(f"s{w - 1}").isNotNull(), F.struct(F.lit(f"run{w}").alias("family"), F.concat_ws(" > ", *[f"s{i}" for i in range(w)]).alias("signature"))) for w in widths], F.when(F.col("__rn") == 1, F.struct(F.lit("first").alias("family"), F.col("s0").alias("signature"))))
+    return rows.select("context", "module", "basket", F.explode(F.filter(runs, lambda r: r.isNotNull())).alias("r")).select("r.family", "context", "r.signature", "module", "basket")
+
+
+def profile(found: DataFrame, observed: int = 10, modules: int = 3, top: int = 300, most_keys: int = 3_000_000) -> DataFrame:
+    """(family, context, signature, observed, modules, rank) of ``fragments``: seen often enough in enough modules, the most frequent of each family.
+
+    A corpus with more than ``most_keys`` distinct fragments raises ``TooMany`` before anything is kept.
+    """
+    per = found.groupBy("family", "context", "signature").agg(F.count(F.lit(1)).alias("observed"), F.count_distinct("module").alias("modules"))
+    if per.limit(most_keys + 1).count() > most_keys:
+        raise TooMany(f"more than {most_keys} distinct fragments")
+    best = Window.partitionBy("family").orderBy(F.desc("observed"), F.desc("modules"), "context", "signature")
+    kept = per.where((F.col("observed") >= observed) & (F.col("modules") >= modules)).withColumn("rank", F.row_number().over(best).cast("long"))
+    return kept.where(F.col("rank") <= top)
+
+
 def evidence_sample(events: DataFrame, group: list[str], address: list[Column], n: int = 10) -> DataFrame:
     """The n rows of each group with the smallest hash of their address: the same sample on every run."""
     key = F.substring(F.sha2(F.concat_ws("|", *address).cast("binary"), 256), 1, 16)

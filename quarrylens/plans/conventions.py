@@ -116,3 +116,14 @@ def substring_scores(t):
     """BM25 of phrases of trigrams over names and their synonyms."""
     found = search.substring_bm25(t.part, F.concat_ws(" ", "p_name", "p_type"), ["Ring", "steel"])
     return found.select("p_partkey", "p_name", F.round("bm25", 6).alias("bm25"))
+
+
+@query("""WITH w AS (SELECT user_id AS basket, user_id % 40 AS module, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS context, event_type AS s0, lead(event_type) OVER o AS s1, lead(event_type, 2) OVER o AS s2, row_number() OVER o AS rn FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id, event_type)),
+ f AS (SELECT 'run1' AS family, context, s0 AS signature, module FROM w UNION ALL SELECT 'run2', context, s0 || ' > ' || s1, module FROM w WHERE s1 IS NOT NULL UNION ALL SELECT 'run3', context, s0 || ' > ' || s1 || ' > ' || s2, module FROM w WHERE s2 IS NOT NULL UNION ALL SELECT 'first', context, s0, module FROM w WHERE rn = 1),
+ p AS (SELECT family, context, signature, count(*) AS observed, count(DISTINCT module) AS modules FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND count(DISTINCT module) >= 3)
+ SELECT *, row_number() OVER (PARTITION BY family ORDER BY observed DESC, modules DESC, context, signature) AS rank FROM p QUALIFY rank <= 50""")
+def fragment_profile(t):
+    """Everything that recurs: runs of one to three symbols and first symbols, over users as baskets."""
+    rows = t.events.withColumn("module", F.col("user_id") % 40)
+    context = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
+    return mining.profile(mining.fragments(rows, "module", "user_id", "event_type", "event_id", context), top=50)

@@ -96,3 +96,31 @@ def test_existing_only_keeps_all_without_a_registry(spark):
 def test_sequences_are_distinct_in_a_basket(spark):
     e = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "a", 3), (1, "b", 4), (1, "a", 5), (2, "a", 1), (2, "a", 2), (2, "a", 3)], "b int, s string, p int")
     assert {(r.gram, r.baskets) for r in mining.sequences(e, "b", "s", "p", 3, 1).collect()} == {("a > b > a", 1), ("b > a > b", 1)}
+
+
+def test_profiles_stop_at_too_many_keys(spark):
+    rows = spark.createDataFrame([(1, 1, f"s{i}", i) for i in range(30)], "m long, b long, s string, p long")
+    found = mining.fragments(rows, "m", "b", "s", "p", F.lit("x"))
+    with pytest.raises(mining.TooMany):
+        mining.profile(found, most_keys=50)
+    assert mining.profile(found, observed=1, modules=1).count() == 30 + 29 + 28 + 1
+
+
+def test_walks_of_many_hops(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(0, 5)], "src long, dst long")
+    got = {r.node: r.hop for r in graph.walk(spark.createDataFrame([(0,)], "n long"), edges, 6, inbound=False).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 2, 7: 3, 8: 4, 9: 5, 10: 6}
+
+
+def test_avoidance_within_roots_needs_the_root(spark):
+    """In context x the member R.b is never used though R is; in y it is common.  Contexts without the root say nothing."""
+    rows = [(i, "R.a", "x") for i in range(100)] + [(100 + i, s, "y") for i in range(100) for s in ("R.a", "R.b")] + [(300 + i, "Q.c", "x") for i in range(50)]
+    events = spark.createDataFrame(rows, "b long, s string, k string")
+    found = mining.avoided_within_roots(events, "b", "s", "k", F.substring_index("s", ".", 1)).collect()
+    assert [(r.root, r.symbol, r.context, r.observed, r.expected) for r in found] == [("R", "R.b", "x", 0, 100.0)]
+
+
+def test_fallback_to_any_term(spark):
+    docs = spark.createDataFrame([(1, "red box"), (2, "red"), (3, "box")], "id long, t string")
+    assert {r.id for r in search.and_then_or(docs, "id", {"t": 1.0}, ["red", "box"]).collect()} == {1}
+    assert {r.id for r in search.and_then_or(docs, "id", {"t": 1.0}, ["red", "none"]).collect()} == {1, 2}
