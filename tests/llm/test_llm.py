@@ -96,6 +96,23 @@ def test_classifier_on_held_out_rows(spark):
     assert found["score"].between(0, 1).all()
 
 
+def test_scores_equal_rule_by_rule_evaluation(spark, sf_dir):
+    """Spark's compiled expression against the rules read one by one; equal texts score alike whatever stands beside them."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    assert model.fitted and 0 < len(model.rules) < 60
+    measured = {r["doc_id"]: r.asDict() for r in quality_model.statistics(docs).collect()}
+    got = {r.doc_id: r for r in quality_model.score(docs, model).collect()}
+    for d, own in measured.items():
+        z = model.intercept
+        for w, rule in zip(model.weights, model.rules, strict=True):
+            if all(own[n] <= b if s == "<=" else own[n] > b for n, s, b in rule.conditions):
+                z += w
+        assert abs(got[d].score - 1 / (1 + np.exp(-z))) < 1e-9 and got[d].predicted == int(got[d].score >= 0.7)
+    moved = docs.withColumns({"doc_id": F.col("doc_id") + 1000, "lang": F.lit("xx"), "source": F.lit("other")})
+    assert {r.doc_id - 1000: r.score for r in quality_model.score(moved, model).collect()} == {d: r.score for d, r in got.items()}
+
+
 def test_classifier_edges(spark, odd):
     none = quality_model.train(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert not none.fitted and quality_model.reject(odd, none).count() == odd.count()
