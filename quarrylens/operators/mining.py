@@ -197,22 +197,26 @@ def context_penalty(n_context: Column, n_symbol: Column) -> Column:
     return 1 / (1 + F.log(n_context)) / (1 + F.log(n_symbol))
 
 
-def ordered_pairs(events: DataFrame, basket: str, symbol: str, position: str, observed: int = 10, consistency: float = 0.9) -> DataFrame:
-    """(a, b, observed, inverse, consistency): symbols whose first uses keep one order."""
-    first = events.groupBy(F.col(basket).alias("basket"), F.col(symbol).alias("symbol")).agg(F.min(position).alias("pos"))
-    pairs = first.toDF("basket", "a", "pa").join(first.toDF("basket", "b", "pb"), "basket").where("pa < pb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed"))
+def ordered_pairs(events: DataFrame, basket: str, symbol: str, position: str, observed: int = 10, consistency: float = 0.9, category: str | None = None, categories: int = 1) -> DataFrame:
+    """(a, b, observed, inverse, consistency): symbols whose first uses keep one order, in baskets of at least so many categories (a basket lies in one)."""
+    kind = F.min(category) if category else F.lit(0)
+    first = events.groupBy(F.col(basket).alias("basket"), F.col(symbol).alias("symbol")).agg(F.min(position).alias("pos"), kind.alias("kind"))
+    both_first = first.toDF("basket", "a", "pa", "ka").join(first.toDF("basket", "b", "pb", "kb"), "basket").where("pa < pb")
+    pairs = both_first.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed"), F.count_distinct("ka").alias("__kinds"))
     back = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("observed").alias("inverse"))
     both = pairs.join(back, ["a", "b"], "left").withColumn("inverse", F.coalesce("inverse", F.lit(0)))
     scored = both.withColumn("consistency", F.col("observed") / (F.col("observed") + F.col("inverse")))
-    return scored.where((F.col("observed") >= observed) & (F.col("consistency") >= consistency))
+    return scored.where((F.col("observed") >= observed) & (F.col("consistency") >= consistency) & (F.col("__kinds") >= categories)).drop("__kinds")
 
 
-def sequences(events: DataFrame, basket: str, symbol: str, position: str, width: int = 3, least: int = 10) -> DataFrame:
-    """(gram, baskets): runs of ``width`` symbols, not all equal, each once a basket."""
+def sequences(events: DataFrame, basket: str, symbol: str, position: str, width: int = 3, least: int = 10, qualified: str | None = None) -> DataFrame:
+    """(gram, baskets): runs of ``width`` symbols, not all equal, each once a basket; with ``qualified``, at least one of them matches that pattern."""
     w = Window.partitionBy(basket).orderBy(position, symbol)
     parts = [F.col(symbol)] + [F.lead(symbol, i).over(w) for i in range(1, width)]
     rows = events.select(F.col(basket).alias("basket"), *[p.alias(f"s{i}") for i, p in enumerate(parts)]).where(F.col(f"s{width - 1}").isNotNull())
-    rows = rows.where(" OR ".join(f"s{i} <> s0" for i in range(1, width))).select("basket", F.concat_ws(" > ", *[f"s{i}" for i in range(width)]).alias("gram")).distinct()
+    if qualified:
+        rows = rows.where(F.exists(F.array(*[f"s{i}" for i in range(width)]), lambda s: s.rlike(qualified)))
+    rows = rows.where(" OR ".join(f"s{i} <> s0" for i in range(1, width)) or "true").select("basket", F.concat_ws(" > ", *[f"s{i}" for i in range(width)]).alias("gram")).distinct()
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("baskets")).where(F.col("baskets") >= least)
 
 

@@ -127,3 +127,19 @@ def fragment_profile(t):
     rows = t.events.withColumn("module", F.col("user_id") % 40)
     context = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
     return mining.profile(mining.fragments(rows, "module", "user_id", "event_type", "event_id", context), top=50)
+
+
+@query("WITH " + USES_SQL + """, f AS (SELECT basket, symbol, min(pos) AS p, min(ctx) AS k FROM u GROUP BY 1, 2), p AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS observed, count(DISTINCT x.k) AS kinds FROM f x JOIN f y ON x.basket = y.basket AND x.p < y.p GROUP BY 1, 2)
+ SELECT p.a, p.b, p.observed, coalesce(q.observed, 0) AS inverse, round(p.observed / (p.observed + coalesce(q.observed, 0)), 6) AS consistency FROM p LEFT JOIN p q ON q.a = p.b AND q.b = p.a WHERE p.observed >= 10 AND p.kinds >= 3 AND p.observed / (p.observed + coalesce(q.observed, 0)) >= 0.6""")
+def order_in_three_categories(t):
+    """Orders of first uses that hold in baskets of three categories or more."""
+    found = mining.ordered_pairs(_uses(t), "basket", "symbol", "pos", consistency=0.6, category="ctx", categories=3)
+    return found.withColumn("consistency", F.round("consistency", 6))
+
+
+@query("WITH " + USES_SQL + """, v AS (SELECT basket, pos, CASE WHEN root IN ('P0', 'P1', 'P2') THEN symbol ELSE root END AS s FROM u), w AS (SELECT basket, s AS s0, lead(s) OVER o AS s1, lead(s, 2) OVER o AS s2 FROM v WINDOW o AS (PARTITION BY basket ORDER BY pos, s))
+ SELECT s0 || ' > ' || s1 || ' > ' || s2 AS gram, count(DISTINCT basket) AS baskets FROM w WHERE s2 IS NOT NULL AND (s1 <> s0 OR s2 <> s0) AND (contains(s0, '.') OR contains(s1, '.') OR contains(s2, '.')) GROUP BY 1 HAVING count(DISTINCT basket) >= 10""")
+def qualified_sequences(t):
+    """Runs of three calls of which one at least is qualified by its root."""
+    uses = _uses(t).withColumn("symbol", F.when(F.col("root").isin("P0", "P1", "P2"), F.col("symbol")).otherwise(F.col("root")))
+    return mining.sequences(uses, "basket", "symbol", "pos", qualified=r"\.")
