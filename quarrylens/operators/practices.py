@@ -31,3 +31,12 @@ def validate(rules: DataFrame, evidence: DataFrame, addresses: DataFrame, sample
     checked = evidence.join(known, F.col("address") == F.col("__a"), "left").groupBy("id").agg(F.count_if(F.col("__a").isNull()).alias("missing"), F.count(F.lit(1)).alias("shown"))
     ok = (F.col("sample") >= sample) & (F.col("matches") >= precision * F.col("sample")) & (F.coalesce("missing", F.lit(1)) == 0) & (F.coalesce("shown", F.lit(0)) > 0)
     return rules.join(checked, "id", "left").withColumn("verified", ok).drop("missing", "shown")
+
+
+def candidates(mined: DataFrame, mech: str | None = None, contains: str | None = None, snapshot: str | None = None, limit: int = 50) -> DataFrame:
+    """Mined records (mech, a, b, evidence, snapshot) by mechanism and text, strongest first, with ``outdated`` where another snapshot is current."""
+    rows = mined if mech is None else mined.where(F.col("mech") == mech)
+    if contains:
+        rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "a", "b")), F.lit(contains.lower())))
+    rows = rows.withColumn("outdated", F.lit(snapshot).isNotNull() & ~F.col("snapshot").eqNullSafe(F.lit(snapshot)))
+    return rows.orderBy(F.desc("evidence"), "mech", "a", "b").limit(min(max(limit, 1), 500))

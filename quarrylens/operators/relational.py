@@ -113,3 +113,9 @@ def cut_across(rows: DataFrame, name: str, order: list[Column], n: int) -> DataF
     top = rows.orderBy(*order).limit(n)
     placed = top.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows
     return placed.join(counts, F.col(name) == F.col("__name")).drop("__name")
+
+
+def most_called(methods: DataFrame, name: str, degree: str, export: str, path: str) -> DataFrame:
+    """One row for each name without case: the namesake with most callers, then exported, then with the shortest and first path."""
+    rank = F.struct(F.negative(degree).alias("d"), F.negative(F.col(export).cast("int")).alias("e"), F.length(path).alias("l"), F.col(path).alias("p"))
+    return methods.groupBy(F.lower(name).alias("name_lc")).agg(F.min_by(F.struct(*methods.columns), rank).alias("__m"), F.count(F.lit(1)).alias("namesakes")).select("name_lc", "__m.*", "namesakes")

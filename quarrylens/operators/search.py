@@ -151,3 +151,26 @@ def grep(docs: DataFrame, id_col: str, text_col: str, pattern: str, regex: bool
         hit = F.contains(F.col("raw"), F.lit(pattern)) if case_sensitive else T.has(F.col("raw"), pattern)
     shown = F.trim("raw")
     return lines.where(hit).select("id", (F.col("pos") + 1).cast("long").alias("line"), F.when(F.length(shown) > cut, F.concat(F.left(shown, F.lit(cut)), F.lit("…"))).otherwise(shown).alias("text"))
+
+
+def relevance_order(name: Column, synonym: Column, query: str) -> list[Column]:
+    """Order before a limit: the name itself, the synonym itself, a name and then a synonym that begins so, short names first."""
+    q = query.lower()
+    low, other = F.lower(name), F.coalesce(F.lower(synonym), F.lit(""))
+    return [F.desc(low == q), F.desc(other == q), F.desc(F.startswith(low, F.lit(q))), F.desc(F.startswith(other, F.lit(q))), F.length(name).asc()]
+
+
+def suggest(entries: DataFrame, title: str, owner: str, terms: list[str], exact: str, wanted_owner: str | None = None, stem: int = 5) -> DataFrame:
+    """``entries`` that hold two stems of the terms or whose title is ``exact``, with ``rank_score``.
+
+    Exact title 10,000, the wanted owner 2,000, each matched stem 100, each stem in the title 50, less the title's length.
+    """
+    stems = list(dict.fromkeys(t.lower()[:stem] for t in terms))
+    head = F.lower(title)
+    whole = F.concat_ws(" ", head, F.lower(owner))
+    matched = sum((F.contains(whole, F.lit(t)).cast("int") for t in stems), F.lit(0))
+    titled = sum((F.contains(head, F.lit(t)).cast("int") for t in stems), F.lit(0))
+    same = (head == exact.lower()).cast("int")
+    owned = (F.lower(owner) == wanted_owner.lower()).cast("int") if wanted_owner else F.lit(0)
+    score = same * 10_000 + owned * 2000 + matched * 100 + titled * 50 - F.length(title)
+    return entries.where((matched >= 2) | (same == 1)).withColumn("rank_score", score.cast("long"))

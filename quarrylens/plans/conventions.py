@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import mining, relational, search
+from ..operators import mining, practices, relational, search
 from ..streaming import incremental
 from .registry import query
 
@@ -109,12 +109,12 @@ def stale_mark(t):
     return incremental.with_stale_mark(answer, t.orders.where("o_orderstatus = 'P'").select("o_orderkey"))
 
 
-@query("""WITH d AS (SELECT p_partkey, p_name, lower(p_name || ' ' || p_type) AS t FROM part), c AS (SELECT *, (length(t) - length(replace(t, 'ring', '')))::DOUBLE / 4 AS a, (length(t) - length(replace(t, 'steel', '')))::DOUBLE / 5 AS b, greatest(length(t) - 2, 0)::DOUBLE AS len FROM d),
+@query("""WITH d AS (SELECT p_partkey, p_name, lower(p_name || ' ' || p_type) AS t FROM part), c AS (SELECT *, (length(t) - length(replace(t, 'ring', '')))::DOUBLE / 4 AS a, (length(t) - length(replace(t, 'small', '')))::DOUBLE / 5 AS b, greatest(length(t) - 2, 0)::DOUBLE AS len FROM d),
  s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS m, count(*) FILTER (a > 0)::DOUBLE AS da, count(*) FILTER (b > 0)::DOUBLE AS db FROM c)
  SELECT p_partkey, p_name, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / m)), 6) AS bm25 FROM c, s WHERE a > 0 AND b > 0""")
 def substring_scores(t):
     """BM25 of phrases of trigrams over names and their synonyms."""
-    found = search.substring_bm25(t.part, F.concat_ws(" ", "p_name", "p_type"), ["Ring", "steel"])
+    found = search.substring_bm25(t.part, F.concat_ws(" ", "p_name", "p_type"), ["Ring", "small"])
     return found.select("p_partkey", "p_name", F.round("bm25", 6).alias("bm25"))
 
 
@@ -143,3 +143,31 @@ def qualified_sequences(t):
     """Runs of three calls of which one at least is qualified by its root."""
     uses = _uses(t).withColumn("symbol", F.when(F.col("root").isin("P0", "P1", "P2"), F.col("symbol")).otherwise(F.col("root")))
     return mining.sequences(uses, "basket", "symbol", "pos", qualified=r"\.")
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part ORDER BY lower(p_name) = 'small ring' DESC, lower(p_brand) = 'small ring' DESC, starts_with(lower(p_name), 'small ring') DESC, starts_with(lower(p_brand), 'small ring') DESC, length(p_name), p_partkey LIMIT 25")
+def relevance_order(t):
+    return t.part.select("p_partkey", "p_name", "p_brand").orderBy(*search.relevance_order(F.col("p_name"), F.col("p_brand"), "Small Ring"), "p_partkey").limit(25)
+
+
+@query("WITH m AS (SELECT p_name AS name, count(l_orderkey) AS degree, p_size % 2 = 0 AS exported, p_brand || '/' || p_partkey AS path FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_name, p_size, p_brand, p_partkey) SELECT lower(name) AS name_lc, name, degree, exported, path, count(*) OVER (PARTITION BY lower(name)) AS namesakes FROM m QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY degree DESC, exported DESC, length(path), path) = 1")
+def most_called_namesake(t):
+    uses = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.part.join(uses, F.col("l_partkey") == F.col("p_partkey"), "left")
+    methods = rows.select(F.col("p_name").alias("name"), F.coalesce("n", F.lit(0)).alias("degree"), (F.col("p_size") % 2 == 0).alias("exported"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"))
+    return relational.most_called(methods, "name", "degree", "exported", "path")
+
+
+@query("WITH m AS (SELECT p_partkey, p_name, p_type, (contains(lower(p_name || ' ' || p_type), 'small'))::INT + (contains(lower(p_name || ' ' || p_type), 'ring'))::INT + (contains(lower(p_name || ' ' || p_type), 'econo'))::INT AS k, (contains(lower(p_name), 'small'))::INT + (contains(lower(p_name), 'ring'))::INT + (contains(lower(p_name), 'econo'))::INT AS h, (lower(p_name) = 'large bolt')::INT AS x, (lower(p_type) = 'economy')::INT AS o FROM part) SELECT p_partkey, p_name, x * 10000 + o * 2000 + k * 100 + h * 50 - length(p_name) AS rank_score FROM m WHERE k >= 2 OR x = 1")
+def help_suggestions(t):
+    found = search.suggest(t.part, "p_name", "p_type", ["small", "ring", "economy"], "Large Bolt", "Economy")
+    return found.select("p_partkey", "p_name", "rank_score")
+
+
+@query("WITH " + USES_SQL + """, d AS (SELECT ctx, count(DISTINCT basket) AS nd FROM u GROUP BY 1), s AS (SELECT symbol, count(DISTINCT basket) AS na FROM u GROUP BY 1), o AS (SELECT symbol, ctx, count(DISTINCT basket) AS o FROM u GROUP BY 1, 2)
+ SELECT 'usage' AS mech, o.symbol AS a, o.ctx AS b, o.o AS evidence, CASE WHEN o.ctx = '5-LOW' THEN 's1' ELSE 's2' END AS snapshot, o.ctx = '5-LOW' AS outdated FROM o WHERE contains(lower(o.symbol || ' ' || o.ctx), 'p1') ORDER BY evidence DESC, a, b LIMIT 20""")
+def practice_candidates(t):
+    """Mined records that name a root, the strongest first; those of another snapshot are marked."""
+    usage = mining.operator_usage(_uses(t), "basket", "symbol", "ctx").where("observed > 0")
+    mined = usage.select(F.lit("usage").alias("mech"), F.col("symbol").alias("a"), F.col("directive").alias("b"), F.col("observed").alias("evidence"), F.when(F.col("directive") == "5-LOW", "s1").otherwise("s2").alias("snapshot"))
+    return practices.candidates(mined, "usage", "P1", "s2", 20)
