@@ -403,7 +403,8 @@ def near_duplicates(
 
     named = usable.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(least, "component").select("node", "component_id")
+    owned = nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    of_node = split_join(owned, least, "component").select("node", "component_id")  # a class may hold a third of all nodes
     found = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(of_node, "node", "left")
     return found.select(
         F.col("id").alias(id_col),
