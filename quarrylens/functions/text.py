@@ -172,3 +172,23 @@ def literal_shape(text: Column) -> Column:
     """Letters to a, digits to 0, runs to one, separators kept."""
     out = F.regexp_replace(text, r"[\p{L}]+", "a")
     return F.regexp_replace(out, r"[0-9]+", "0")
+
+
+def literal_keys(text: Column) -> Column:
+    """The first six names in order that stand before an equals sign in a literal."""
+    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-zА-Яа-яЁё]+)\s*="), F.lit(1)))), 1, 6)
+
+
+def literal_description(literal: Column) -> Column:
+    """``S:coarse~shape|k=keys`` of a quoted literal: its form without names and spaces (24 characters), letters and digits as one each (40), and its keys."""
+    body = F.replace(F.trim(literal, F.lit('"')), F.lit('""'), F.lit('"'))
+
+    def steps(value: Column, *pairs: tuple[str, str]) -> Column:
+        for pattern, to in pairs:
+            value = F.regexp_replace(value, pattern, to)
+        return value
+
+    shape = F.left(steps(body, ("[A-Za-zА-Яа-яЁё]+", "a"), (r"\d+", "9"), (r"\s+", " ")), F.lit(40))
+    coarse = F.left(steps(body, ("'[^']*'?", "'…'"), ("[A-Za-zА-Яа-яЁё_][0-9A-Za-zА-Яа-яЁё_]*", "a"), (r"\d+", "9"), (r"\s+", ""), (r"a(?:\s*a)+", "a")), F.lit(24))
+    keys = literal_keys(body)
+    return F.concat(F.lit("S:"), coarse, F.lit("~"), shape, F.when(F.size(keys) > 0, F.concat(F.lit("|k="), F.array_join(keys, ","))).otherwise(F.lit("")))

@@ -186,6 +186,61 @@ def nested_shares(events: DataFrame, symbol: str, parent: str, least: int = 100,
     return inside.join(total, "symbol").where(F.col("k") >= share * F.col("n")).select("symbol", "parent", "n", (F.col("k") / F.col("n")).alias("share"))
 
 
+def argument_forms(uses: DataFrame, symbol: str, place: str, form: str, least: int = 30, share: float = 0.95) -> DataFrame:
+    """(symbol, place, value, share, n): what nearly all uses hand over at one place of their arguments.
+
+    The form itself where it says something (a literal word, a name, a called function, a coarse text), else its kind.
+    """
+    full = F.col(form)
+    kind = F.left(full, F.lit(2))
+    coarse = F.when(full.startswith("S:"), F.substring_index(full, "~", 1)).when(kind.isin("C:", "I:") | full.startswith("="), full).otherwise(F.left(full, F.lit(1)))
+    counts = uses.groupBy(F.col(symbol).alias("symbol"), F.col(place).alias("place"), coarse.alias("value")).agg(F.count(F.lit(1)).alias("k"))
+    general = F.when(F.left("value", F.lit(2)).isin("S:", "I:", "C:"), F.left("value", F.lit(2))).otherwise(F.col("value"))
+    levels = F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("value").alias("value")), F.struct(F.lit(2).alias("level"), general.alias("value"))))
+    per = counts.select("symbol", "place", "k", levels.alias("l")).groupBy("symbol", "place", "l.level", "l.value").agg(F.sum("k").alias("k"))
+    total = counts.groupBy("symbol", "place").agg(F.sum("k").alias("n")).where(F.col("n") >= least)
+    said = F.when(F.col("level") == 1, ~F.col("value").isin("-", "N", "E")).otherwise(F.col("value").isin("S:", "I:", "C:"))
+    found = per.join(total, ["symbol", "place"]).where(said & (F.col("k") >= share * F.col("n")))
+    best = found.groupBy("symbol", "place").agg(F.min_by(F.struct("value", "k", "n"), "level").alias("b"))
+    return best.select("symbol", "place", "b.value", (F.col("b.k") / F.col("b.n")).alias("share"), "b.n")
+
+
+def avoided_keys(literals: DataFrame, symbol: str, place: str, keys: str, least: int = 100, related: int = 100, seen: int = 30, own: float = 0.01) -> DataFrame:
+    """(symbol, place, key, observed, expected, n, related): keys that related literals use and a symbol's literals avoid.
+
+    A literal of another symbol or place is related if it holds one of the keys that the symbol uses itself.  Equal literals of
+    one symbol are counted before anything meets.
+    """
+    sets = literals.where(F.size(keys) > 0).groupBy(F.col(symbol).alias("symbol"), F.col(place).alias("place"), F.array_sort(F.array_distinct(keys)).alias("keys")).agg(F.count(F.lit(1)).alias("w"))
+    target = sets.groupBy("symbol", "place").agg(F.sum("w").alias("n")).where(F.col("n") >= least)
+    used = sets.select("symbol", "place", "w", F.explode("keys").alias("key")).groupBy("symbol", "place", "key").agg(F.sum("w").alias("observed"))
+    vocabulary = used.join(target, ["symbol", "place"]).where(F.col("observed") >= own * F.col("n")).select("symbol", "place", "key", "n")
+    other = sets.groupBy(F.col("symbol").alias("__s"), F.col("place").alias("__p"), "keys").agg(F.sum("w").alias("w"))
+    meets = other.select("__s", "__p", "keys", "w", F.explode("keys").alias("key")).join(vocabulary, "key").where("NOT (__s <=> symbol AND __p <=> place)")
+    pairs = meets.select("symbol", "place", "n", "__s", "__p", "keys", "w").distinct()
+    around = pairs.groupBy("symbol", "place").agg(F.sum("w").alias("related")).where(F.col("related") >= related)
+    theirs = pairs.select("symbol", "place", "n", "w", F.explode("keys").alias("key")).groupBy("symbol", "place", "n", "key").agg(F.sum("w").alias("k")).where(F.col("k") >= seen)
+    grid = theirs.join(vocabulary.drop("n"), ["symbol", "place", "key"], "left_anti").join(around, ["symbol", "place"]).join(used, ["symbol", "place", "key"], "left")
+    grid = grid.withColumn("observed", F.coalesce("observed", F.lit(0))).withColumn("expected", F.col("n") * F.col("k") / F.col("related"))
+    return avoided(grid).select("symbol", "place", "key", "observed", "expected", "n", "related")
+
+
+def never_joined(events: DataFrame, symbol: str, parent: str, joined: str, least: int = 100, most: float = 0.1, inside: float = 0.2, top: int = 4) -> DataFrame:
+    """(symbol, concat_share, parents, n): symbols that are handed over as arguments and hardly ever joined to texts.
+
+    ``parents``: the most frequent of the ``top`` surroundings that are calls, with their shares.
+    """
+    per = events.groupBy(F.col(symbol).alias("symbol"), F.coalesce(F.col(parent), F.lit("")).alias("parent")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col(joined).cast("long")).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("k"), "parent"))
+    called = (F.col("rank") <= top) & (F.col("parent") != "")
+    total = per.withColumn("rank", rank).groupBy("symbol").agg(
+        F.sum("k").alias("n"), F.sum("c").alias("c"), F.coalesce(F.sum(F.when(called, F.col("k"))), F.lit(0)).alias("__in"), F.array_sort(F.collect_list(F.when(called, F.struct("rank", "parent", "k")))).alias("p"),
+    )
+    kept = total.where((F.col("n") >= least) & (F.col("c") <= most * F.col("n")) & (F.col("__in") >= inside * F.col("n")))
+    parents = F.transform("p", lambda x: F.struct(x["parent"].alias("parent"), (x["k"] / F.col("n")).alias("share")))
+    return kept.select("symbol", (F.col("c") / F.col("n")).alias("concat_share"), parents.alias("parents"), "n")
+
+
 def rank_practices(found: DataFrame, family: str, evidence: str, diversity: str, spread: str, modules: int, fit: str) -> DataFrame:
     """Score min(e * d, 50) / 50 * ln(1 + spread) / ln(modules) * max(fit, 0), and the best of each family (ties by name)."""
     score = F.least(F.col(evidence) * F.col(diversity), F.lit(50.0)) / 50 * F.log1p(F.col(spread)) / F.log(F.lit(float(modules))) * F.greatest(F.col(fit), F.lit(0.0))

@@ -165,3 +165,41 @@ def test_git_head(tmp_path):
     assert git.head(str(tmp_path)) is None
     (tmp_path / ".git" / "packed-refs").write_text("abc refs/heads/main\n")
     assert git.head(str(tmp_path)) == "abc"
+
+
+def events_in(*lines):
+    from quarrylens.sources import events
+
+    return list(events.events_of("\n".join(["Procedure P(Val Item, Other = 1)", *lines, "EndProcedure"])))
+
+
+def test_events_know_their_blocks():
+    found = events_in("Try", "While More() Do", "A();", "EndDo;", "Except", "If B() Then C(); ElsIf D() Then E(); Else F(); EndIf;", "EndTry;", "Try G(); EndTry;", "EndDo; H();")
+    assert [(e["name"], e["flags"], e["try_id"]) for e in found] == [
+        ("More", "CT", 1), ("A", "LT", 1), ("B", "CX", 1), ("C", "BX", 1), ("D", "CX", 1), ("E", "BX", 1), ("F", "BX", 1), ("G", "T", 2), ("H", "", None),
+    ]
+
+
+def test_events_know_their_arguments():
+    (e,) = events_in('Call("a""b" // a note, (', ' "c", 2.5, Item.Size, Undefined, Fifth);')
+    assert e["args"] == [{"kind": "S", "value": '"a""b""c"'}, {"kind": "N", "value": "2.5"}, {"kind": "D", "value": "size"}, {"kind": "=", "value": "undefined"}] and e["first_kind"] == "S"
+    outer, inner = events_in("Call(Inner(1, 2)[0], , (3));")
+    assert [a["kind"] for a in outer["args"]] == ["E", "-", "E"] and inner["parent"] == "Call" and inner["line"] == 1
+    assert [a["kind"] for a in events_in("Call(Inner(1));")[0]["args"]] == ["C"]
+    assert events_in("Call();")[0]["args"] == [] and events_in("Call(, A);")[0]["args"][0]["kind"] == "-"
+    assert events_in("Call(True);")[0]["first_kind"] == "=true"
+
+
+def test_events_know_who_joins_and_who_surrounds_them():
+    found = events_in('Text = "a" + Say(Item.Get(), Name()) + Rows[0].Last();', "New Map; Raise;", "Broken(A, Open(")
+    assert [(e["name"], e["parent"], e["concat"]) for e in found] == [
+        ("Say", "", True), ("param:Item.Get", "Say", False), ("Name", "Say", False), ("*.Last", "", False), ("Новый Map", "", False), ("ВызватьИсключение", "", False), ("Broken", "", False), ("Open", "Broken", False),
+    ]
+
+
+def test_events_of_odd_modules(spark):
+    from quarrylens.sources import events
+
+    rows = [("a", b"Procedure P(\nSay(1);\nEndProcedure"), ("b", b""), ("c", None), ("d", "Процедура П() Экспорт\nСообщить(\"x\n|y\");\nКонецПроцедуры".encode())]
+    found = events.events(spark.createDataFrame(rows, "rel_path string, content binary")).collect()
+    assert [(r.rel_path, r.method, r.name, r.line) for r in found if r.rel_path != "a"] == [("d", "П", "Сообщить", 2)]
