@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import stats as S
 from quarrylens.functions import text as T
-from quarrylens.operators import graph, mining, relational, resolve, search, vectors
+from quarrylens.operators import graph, mining, relational, resolve, search, stage, vectors
+from quarrylens.sources import events
 
 
 def one(spark, column):
@@ -124,3 +125,24 @@ def test_fallback_to_any_term(spark):
     docs = spark.createDataFrame([(1, "red box"), (2, "red"), (3, "box")], "id long, t string")
     assert {r.id for r in search.and_then_or(docs, "id", {"t": 1.0}, ["red", "box"]).collect()} == {1}
     assert {r.id for r in search.and_then_or(docs, "id", {"t": 1.0}, ["red", "none"]).collect()} == {1, 2}
+
+
+def dealt_by_size(df):
+    """Whether the plan deals rows to a number of tasks that adaptive execution keeps."""
+    return "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_of_many_modules_is_parsed_by_many_tasks(spark, tmp_path):
+    code = F.concat(F.lit("Procedure P"), F.col("id").cast("string"), F.lit("()\n  Go();\nEndProcedure"))
+    spark.range(20000).select(F.col("id").cast("string").alias("rel_path"), code.alias("content")).coalesce(1).write.parquet(str(tmp_path / "m"))
+    found = events.events(spark.read.parquet(str(tmp_path / "m")))
+    assert found.groupBy(F.spark_partition_id()).count().count() == 4
+    assert found.count() == 20000
+
+
+def test_tasks_follow_the_size_of_the_files(spark, tmp_path):
+    spark.range(3000000).select(F.xxhash64("id").alias("h")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    small, large = spark.range(10), spark.read.parquet(str(tmp_path / "t"))
+    assert stage.tasks(small) == 1
+    assert stage.tasks(large) == 6  # 24 MB; the session's four are too few
+    assert stage.tasks(spark.createDataFrame([(1,)], "a int")) == 4
