@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .stage import dealt
 
 
 def frequent(events: DataFrame, basket: str, symbol: str, least: int) -> DataFrame:
@@ -254,8 +255,8 @@ def context_penalty(n_context: Column, n_symbol: Column) -> Column:
 
 def ordered_pairs(events: DataFrame, basket: str, symbol: str, position: str, observed: int = 10, consistency: float = 0.9, category: str | None = None, categories: int = 1) -> DataFrame:
     """(a, b, observed, inverse, consistency): symbols whose first uses keep one order, in baskets of at least so many categories (a basket lies in one)."""
-    kind = F.min(category) if category else F.lit(0)
-    first = events.groupBy(F.col(basket).alias("basket"), F.col(symbol).alias("symbol")).agg(F.min(position).alias("pos"), kind.alias("kind"))
+    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(position).alias("pos"), (F.col(category) if category else F.lit(0)).alias("kind"))
+    first = dealt(rows, "basket").groupBy("basket", "symbol").agg(F.min("pos").alias("pos"), F.min("kind").alias("kind"))
     both_first = first.toDF("basket", "a", "pa", "ka").join(first.toDF("basket", "b", "pb", "kb"), "basket").where("pa < pb")
     pairs = both_first.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed"), F.count_distinct("ka").alias("__kinds"))
     back = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("observed").alias("inverse"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mining, practices, relational, search
+from ..operators.stage import dealt, tasks
 from ..streaming import incremental
 from .registry import query
 
@@ -14,7 +15,9 @@ USES_SQL = "u AS (SELECT l_orderkey AS basket, l_linenumber AS pos, 'P' || p_siz
 
 def _uses(t):
     """Uses of symbols ``root.member`` in baskets with a context that avoids one member."""
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    n = tasks(lines, t.orders)
+    rows = dealt(lines, "l_orderkey", n=n).join(dealt(t.orders, "o_orderkey", n=n), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.where("NOT (o_orderpriority = '1-URGENT' AND p_partkey % 5 = 3)")
     root = F.concat(F.lit("P"), (F.col("p_size") % 7).cast("string"))
     return rows.select(F.col("l_orderkey").alias("basket"), F.col("l_linenumber").alias("pos"), F.concat(root, F.lit("."), (F.col("p_partkey") % 5).cast("string")).alias("symbol"), root.alias("root"), F.col("o_orderpriority").alias("ctx"))

@@ -146,3 +146,8 @@ def test_tasks_follow_the_size_of_the_files(spark, tmp_path):
     assert stage.tasks(small) == 1
     assert stage.tasks(large) == 6  # 24 MB; the session's four are too few
     assert stage.tasks(spark.createDataFrame([(1,)], "a int")) == 4
+
+
+def test_first_uses_meet_inside_their_task(spark, sf_dir):
+    found = mining.ordered_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linestatus", "l_linenumber")
+    assert dealt_by_size(found)
