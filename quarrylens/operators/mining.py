@@ -132,9 +132,12 @@ def avoided_operators(usage: DataFrame, least_directive: int = 500, least: int =
 
 def signature_diversity(events: DataFrame, basket: str, symbol: str) -> DataFrame:
     """(symbol, baskets, signatures, diversity): distinct symbol sets among the baskets that use a symbol; copies of one body count once."""
-    sets = events.groupBy(F.col(basket).alias("basket")).agg(F.xxhash64(F.concat_ws("\x1f", F.array_sort(F.collect_set(F.col(symbol))))).alias("signature"))
-    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol")).distinct().join(sets, "basket")
-    per = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("baskets"), F.count_distinct("signature").alias("signatures"))
+    rows = dealt(events.select(F.col(basket).alias("basket"), F.struct(F.col(symbol).alias("symbol")).alias("s")).where("basket IS NOT NULL"), "basket")
+    sets = rows.groupBy("basket").agg(F.collect_set("s").alias("set"))  # of structs, which keeps a null symbol
+    signature = F.xxhash64(F.concat_ws("\x1f", F.array_sort(F.col("set.symbol"))))
+    uses = dealt(sets.select(F.explode("set.symbol").alias("symbol"), signature.alias("signature")), "symbol", "signature")
+    kinds = uses.groupBy("symbol", "signature").agg(F.count(F.lit(1)).alias("n"))
+    per = kinds.groupBy("symbol").agg(F.sum("n").alias("baskets"), F.count(F.lit(1)).alias("signatures"))
     return per.withColumn("diversity", F.col("signatures") / F.col("baskets"))
 
 

@@ -151,3 +151,10 @@ def test_tasks_follow_the_size_of_the_files(spark, tmp_path):
 def test_first_uses_meet_inside_their_task(spark, sf_dir):
     found = mining.ordered_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linestatus", "l_linenumber")
     assert dealt_by_size(found)
+
+
+def test_signatures_with_null_symbols(spark):
+    rows = [(1, "a"), (1, None), (1, "a"), (2, "a"), (3, "a"), (3, "b"), (None, "a")]
+    found = mining.signature_diversity(spark.createDataFrame(rows, "b int, s string"), "b", "s")
+    assert {(r.symbol, r.baskets, r.signatures) for r in found.collect()} == {("a", 3, 2), ("b", 1, 1), (None, 1, 1)}
+    assert dealt_by_size(found)
