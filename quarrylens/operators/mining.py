@@ -50,7 +50,8 @@ def contexts(events: DataFrame, basket: str, symbol: str, context: str, least: i
     Contexts are few (directives, module kinds); their table is checked to be small before it is broadcast.  Pairs of which less than
     ``least_expected`` is expected (an avoidance needs 6.9) go before the counts are joined.
     """
-    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(context).alias("context")).distinct()
+    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(context).alias("context"))
+    rows = dealt(rows, "basket").distinct()
     in_context = rows.groupBy("context").agg(F.count_distinct("basket").alias("n_context"))
     total = rows.agg(F.count_distinct("basket").alias("total"))
     of_symbol = rows.groupBy("symbol").agg(F.count_distinct("basket").alias("n_symbol")).where(F.col("n_symbol") >= least)
@@ -76,7 +77,8 @@ def avoided_within_roots(events: DataFrame, basket: str, symbol: str, context: s
 
     What is expected in the context is the share of the root's other baskets that use the symbol.  Only (symbol, context) pairs of one root meet.
     """
-    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(context).alias("context"), root.alias("root")).where("root IS NOT NULL").distinct()
+    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(context).alias("context"), root.alias("root")).where("root IS NOT NULL")
+    rows = dealt(rows, "basket").distinct()
     n_root = rows.groupBy("root").agg(F.count_distinct("basket").alias("n_root"))
     n_context = rows.groupBy("root", "context").agg(F.count_distinct("basket").alias("n_context")).where(F.col("n_context") >= least_context)
     n_symbol = rows.groupBy("root", "symbol").agg(F.count_distinct("basket").alias("n_symbol")).where(F.col("n_symbol") >= least)

@@ -158,3 +158,8 @@ def test_signatures_with_null_symbols(spark):
     found = mining.signature_diversity(spark.createDataFrame(rows, "b int, s string"), "b", "s")
     assert {(r.symbol, r.baskets, r.signatures) for r in found.collect()} == {("a", 3, 2), ("b", 1, 1), (None, 1, 1)}
     assert dealt_by_size(found)
+
+
+def test_avoidance_counts_inside_its_task(spark):
+    events = spark.createDataFrame([(1, "R.a", "x")], "b long, s string, k string")
+    assert dealt_by_size(mining.avoided_within_roots(events, "b", "s", "k", F.substring_index("s", ".", 1)))
