@@ -94,9 +94,11 @@ def bracketed(events: DataFrame, basket: str, symbol: str, position: str, bracke
 
     ``brackets``: (opening, closing) pairs of symbols; a block reaches from the first opening to the last closing symbol of a basket.
     """
-    at = events.groupBy(F.col(basket).alias("__b"), F.col(symbol).alias("__s")).agg(F.min(position).alias("lo"), F.max(position).alias("hi"))
-    opens, closes = at.select("__b", F.col("__s").alias("opening"), F.col("lo").alias("__from")), at.select(F.col("__b").alias("__c"), F.col("__s").alias("__closing"), F.col("hi").alias("__to"))
-    spans = opens.join(F.broadcast(brackets), "opening").join(closes, (F.col("__b") == F.col("__c")) & (F.col("closing") == F.col("__closing"))).where("__to > __from")
+    events = dealt(events, basket)
+    ends = F.explode(F.array(F.struct(F.col("opening").alias("__s"), F.lit(True).alias("__o")), F.struct(F.col("closing").alias("__s"), F.lit(False).alias("__o"))))
+    sides = brackets.select("opening", "closing").distinct().select("opening", "closing", ends.alias("e")).select("opening", "closing", "e.*")
+    at = events.select(F.col(basket).alias("__b"), F.col(symbol).alias("__x"), F.col(position).alias("__p")).join(F.broadcast(sides), F.col("__x") == F.col("__s"))
+    spans = at.groupBy("__b", "opening", "closing").agg(F.min(F.when(F.col("__o"), F.col("__p"))).alias("__from"), F.max(F.when(~F.col("__o"), F.col("__p"))).alias("__to")).where("__to > __from")
     spans = spans.select("__b", F.concat(F.lit("["), "opening", F.lit(".."), "closing", F.lit("]")).alias("block"), "__from", "__to")
     found = events.join(spans, F.col(basket) == F.col("__b"))
     return found.withColumn("inside", (F.col(position) > F.col("__from")) & (F.col(position) < F.col("__to"))).drop("__b", "__from", "__to")
@@ -107,9 +109,10 @@ def block_contexts(events: DataFrame, basket: str, symbol: str, block: str, insi
 
     Only baskets that hold such a block with something in it count.
     """
-    live = events.where(F.col(inside)).select(F.col(basket).alias("__b"), F.col(block).alias("__k")).distinct()
-    rows = events.join(live, (F.col(basket) == F.col("__b")) & (F.col(block) == F.col("__k"))).select(F.col(block).alias("block"), F.col(symbol).alias("symbol"), F.col(inside).cast("long").alias("inside"))
-    per = rows.groupBy("block", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("inside").alias("observed"))
+    rows = events.select(F.col(basket).alias("basket"), F.col(block).alias("block"), F.col(symbol).alias("symbol"), F.col(inside).cast("long").alias("inside")).where("basket IS NOT NULL AND block IS NOT NULL")
+    own = dealt(rows, "basket").groupBy("basket", "block", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("inside").alias("observed"))
+    live = own.withColumn("__in", F.sum("observed").over(Window.partitionBy("basket", "block"))).where("__in > 0")
+    per = live.groupBy("block", "symbol").agg(F.sum("n").alias("n"), F.sum("observed").alias("observed"))
     total = per.groupBy("block").agg(F.sum("n").alias("all_n"), F.sum("observed").alias("all_inside"))
     return per.join(total, "block").select("block", "symbol", "observed", (F.col("n") * F.col("all_inside") / F.col("all_n")).alias("expected"), "n", (F.col("observed") / F.col("n")).alias("share"))
 

@@ -163,3 +163,13 @@ def test_signatures_with_null_symbols(spark):
 def test_avoidance_counts_inside_its_task(spark):
     events = spark.createDataFrame([(1, "R.a", "x")], "b long, s string, k string")
     assert dealt_by_size(mining.avoided_within_roots(events, "b", "s", "k", F.substring_index("s", ".", 1)))
+
+
+def test_blocks_from_first_opening_to_last_closing(spark):
+    rows = [(1, "o", 1), (1, "x", 2), (1, "c", 3), (1, "x", 4), (1, "c", 5), (1, "x", 6), (2, "c", 1), (2, "x", 2), (2, "o", 3), (3, "o", 1), (3, "c", 2), (3, "x", 3)]
+    events = spark.createDataFrame(rows, "b int, s string, p int")
+    found = mining.bracketed(events, "b", "s", "p", spark.createDataFrame([("o", "c")], "opening string, closing string"))
+    assert sorted((r.b, r.p, r.inside) for r in found.collect()) == [(1, 1, False), (1, 2, True), (1, 3, True), (1, 4, True), (1, 5, False), (1, 6, False), (3, 1, False), (3, 2, False), (3, 3, False)]
+    held = mining.block_contexts(found, "b", "s", "block", "inside")
+    assert {(r.symbol, r.n, r.observed) for r in held.collect()} == {("o", 1, 0), ("x", 3, 2), ("c", 2, 1)}  # basket 3 holds nothing inside
+    assert dealt_by_size(held)
