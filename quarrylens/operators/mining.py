@@ -119,7 +119,7 @@ def block_contexts(events: DataFrame, basket: str, symbol: str, block: str, insi
 
 def operator_usage(events: DataFrame, basket: str, symbol: str, directive: str) -> DataFrame:
     """(symbol, directive, n_symbol, n_directive, observed, expected, total): baskets that use an operator, by directive; what is expected follows from the other directives."""
-    rows = events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(directive).alias("directive")).distinct()
+    rows = dealt(events.select(F.col(basket).alias("basket"), F.col(symbol).alias("symbol"), F.col(directive).alias("directive")), "basket").distinct()
     n_directive = rows.groupBy("directive").agg(F.count_distinct("basket").alias("n_directive"))
     n_symbol = rows.groupBy("symbol").agg(F.count_distinct("basket").alias("n_symbol"))
     seen = rows.groupBy("symbol", "directive").agg(F.count(F.lit(1)).alias("observed"))

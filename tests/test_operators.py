@@ -173,3 +173,10 @@ def test_blocks_from_first_opening_to_last_closing(spark):
     held = mining.block_contexts(found, "b", "s", "block", "inside")
     assert {(r.symbol, r.n, r.observed) for r in held.collect()} == {("o", 1, 0), ("x", 3, 2), ("c", 2, 1)}  # basket 3 holds nothing inside
     assert dealt_by_size(held)
+
+
+def test_operator_usage_counts_inside_its_task(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a", "y"), (3, "b", "y")], "b int, s string, d string")
+    found = mining.operator_usage(rows, "b", "s", "d")
+    assert {(r.symbol, r.directive, r.n_symbol, r.n_directive, r.observed, r.total) for r in found.collect()} == {("a", "x", 2, 1, 1, 3), ("a", "y", 2, 2, 1, 3), ("b", "x", 1, 1, 0, 3), ("b", "y", 1, 2, 1, 3)}
+    assert dealt_by_size(found)
