@@ -275,6 +275,7 @@ def ordered_pairs(events: DataFrame, basket: str, symbol: str, position: str, ob
 
 def sequences(events: DataFrame, basket: str, symbol: str, position: str, width: int = 3, least: int = 10, qualified: str | None = None) -> DataFrame:
     """(gram, baskets): runs of ``width`` symbols, not all equal, each once a basket; with ``qualified``, at least one of them matches that pattern."""
+    events = dealt(events.select(*dict.fromkeys([basket, symbol, position])), basket)
     w = Window.partitionBy(basket).orderBy(position, symbol)
     parts = [F.col(symbol)] + [F.lead(symbol, i).over(w) for i in range(1, width)]
     rows = events.select(F.col(basket).alias("basket"), *[p.alias(f"s{i}") for i, p in enumerate(parts)]).where(F.col(f"s{width - 1}").isNotNull())
@@ -291,7 +292,7 @@ class TooMany(RuntimeError):
 def fragments(events: DataFrame, module: str, basket: str, symbol: str, position: str, context: Column, widths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(family, context, signature, module, basket): runs of symbols of each width, and the symbol that each basket begins with."""
     order = Window.partitionBy(basket).orderBy(position, symbol)
-    rows = events.select(F.col(module).alias("module"), F.col(basket).alias("basket"), context.alias("context"), F.col(symbol).alias("s0"), *[F.lead(symbol, i).over(order).alias(f"s{i}") for i in range(1, max(widths))], F.row_number().over(order).alias("__rn"))
+    rows = dealt(events, basket).select(F.col(module).alias("module"), F.col(basket).alias("basket"), context.alias("context"), F.col(symbol).alias("s0"), *[F.lead(symbol, i).over(order).alias(f"s{i}") for i in range(1, max(widths))], F.row_number().over(order).alias("__rn"))
     runs = F.array(*[F.when(F.col(f"s{w - 1}").isNotNull(), F.struct(F.lit(f"run{w}").alias("family"), F.concat_ws(" > ", *[f"s{i}" for i in range(w)]).alias("signature"))) for w in widths], F.when(F.col("__rn") == 1, F.struct(F.lit("first").alias("family"), F.col("s0").alias("signature"))))
     return rows.select("context", "module", "basket", F.explode(F.filter(runs, lambda r: r.isNotNull())).alias("r")).select("r.family", "context", "r.signature", "module", "basket")
 

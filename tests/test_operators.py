@@ -180,3 +180,8 @@ def test_operator_usage_counts_inside_its_task(spark):
     found = mining.operator_usage(rows, "b", "s", "d")
     assert {(r.symbol, r.directive, r.n_symbol, r.n_directive, r.observed, r.total) for r in found.collect()} == {("a", "x", 2, 1, 1, 3), ("a", "y", 2, 2, 1, 3), ("b", "x", 1, 1, 0, 3), ("b", "y", 1, 2, 1, 3)}
     assert dealt_by_size(found)
+
+
+def test_runs_are_found_inside_their_task(spark):
+    events = spark.createDataFrame([(1, "a", 1)], "b int, s string, p int")
+    assert dealt_by_size(mining.sequences(events, "b", "s", "p"))
