@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .stage import dealt
 
 K1, B = 1.2, 0.75
 #: Weights of the seven signals (fixed values).
@@ -26,6 +27,7 @@ def postings(docs: DataFrame, id_col: str, columns: list[str], min_length: int =
 
 def token_idf(tokens: DataFrame, entity: str, token: str) -> DataFrame:
     """(token, df, idf) with the smoothed idf ln((n + 1) / (df + 1))."""
+    tokens = dealt(tokens.select(entity, token), entity)
     df = tokens.groupBy(F.col(token).alias("token")).agg(F.count_distinct(entity).alias("df"))
     n = tokens.agg(F.count_distinct(entity).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))

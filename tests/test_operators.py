@@ -185,3 +185,10 @@ def test_operator_usage_counts_inside_its_task(spark):
 def test_runs_are_found_inside_their_task(spark):
     events = spark.createDataFrame([(1, "a", 1)], "b int, s string, p int")
     assert dealt_by_size(mining.sequences(events, "b", "s", "p"))
+
+
+def test_one_frequent_token_is_no_single_task(spark):
+    tokens = spark.range(2000).select("id", F.lit("same").alias("token"))
+    found = vectors.entity_vectors(tokens, "id", "token", spark.createDataFrame([("same", 2.0)], "token string, idf double"), 16)
+    assert found.select("vector").distinct().count() == 1 and found.count() == 2000
+    assert dealt_by_size(found)
