@@ -7,16 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import dealt, tasks
+
 
 def innermost_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, point_id: str, name: str) -> DataFrame:
     """Each point with the innermost interval of its key that covers it (start <= at <= end, an open end covers all); none: null.
 
-    ``intervals``: (key, start, end, name).  The equi-join on the key bounds the comparisons.
+    ``intervals``: (key, start, end, name).  A key's intervals are gathered and meet its points in one join on the key; ``point_id`` stands first, as it names the row.
     """
-    i = intervals.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(name).alias("__n"))
-    hits = points.join(i, (F.col(key) == F.col("__k")) & (F.col("__s") <= F.col(at)) & (F.col("__e").isNull() | (F.col("__e") >= F.col(at))))
-    inner = hits.groupBy(point_id).agg(F.max_by("__n", F.struct("__s", F.negative(F.coalesce("__e", F.lit(2**62))), "__n")).alias(name))
-    return points.join(inner, point_id, "left")
+    n = tasks(points, intervals)
+    ends = F.struct(F.col("start").alias("s"), F.negative(F.coalesce("end", F.lit(2**62))).alias("e"), F.col(name).alias("n"))
+    i = dealt(intervals.select(F.col(key).alias("__k"), ends.alias("i")), "__k", n=n).groupBy("__k").agg(F.collect_list("i").alias("__i"))
+    rest = [c for c in points.columns if c != point_id]
+    found = dealt(points, key, n=n).join(i, F.col(key) == F.col("__k"), "left")
+    over = F.filter("__i", lambda x: (x["s"] <= F.col(at)) & (-x["e"] >= F.col(at)))
+    return found.select(point_id, *rest, F.array_max(over)["n"].alias(name))
 
 
 def top_level(intervals: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as T
 from ..operators import graph, mining, practices, relational, resolve, search, vectors
+from ..operators.stage import dealt, tasks
 from ..sources import modules
 from ..streaming import incremental
 from . import sqlguard
@@ -126,8 +127,10 @@ def _regions(t):
 @query("WITH " + REGIONS_SQL + """ SELECT l_orderkey AS k, l_linenumber::BIGINT AS line, (SELECT region FROM regions r WHERE r.k = l_orderkey AND r."start" <= l_linenumber AND (r."end" IS NULL OR r."end" >= l_linenumber)
  ORDER BY r."start" DESC, coalesce(r."end", 4611686018427387904), region DESC LIMIT 1) AS region, count(*) AS n FROM lineitem GROUP BY ALL""")
 def module_outline_regions(t):
-    points = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("line")).groupBy("k", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.struct("k", "line"))
-    return relational.innermost_interval(points, _regions(t), "k", "line", "pid", "region").select("k", "line", "region", "n")
+    regions = _regions(t)
+    lines = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("line"))
+    points = dealt(lines, "k", n=tasks(lines, regions)).groupBy("k", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.struct("k", "line"))
+    return relational.innermost_interval(points, regions, "k", "line", "pid", "region").select("k", "line", "region", "n")
 
 
 @query("WITH " + REGIONS_SQL + """, m AS (SELECT *, max("end") OVER (PARTITION BY k ORDER BY "start", "end" NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM regions)

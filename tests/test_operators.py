@@ -192,3 +192,11 @@ def test_one_frequent_token_is_no_single_task(spark):
     found = vectors.entity_vectors(tokens, "id", "token", spark.createDataFrame([("same", 2.0)], "token string, idf double"), 16)
     assert found.select("vector").distinct().count() == 1 and found.count() == 2000
     assert dealt_by_size(found)
+
+
+def test_innermost_of_equal_starts_and_open_ends(spark):
+    points = spark.createDataFrame([(1, "k", 5), (2, "k", 9), (3, "z", 1), (4, None, 1)], "id int, k string, at long")
+    regions = spark.createDataFrame([("k", 1, None, "open"), ("k", 4, 6, "wide"), ("k", 4, 5, "a"), ("k", 4, 5, "b"), (None, 1, None, "none")], "k string, start long, end long, region string")
+    found = relational.innermost_interval(points, regions, "k", "at", "id", "region")
+    assert {(r.id, r.region) for r in found.collect()} == {(1, "b"), (2, "open"), (3, None), (4, None)}
+    assert dealt_by_size(found)
