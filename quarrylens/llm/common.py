@@ -5,12 +5,17 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that pass to a Python worker at once (one row more at most), on the way there and in its hands.
+BATCH_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +72,18 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return left.join(marked, (F.xxhash64(key) == F.xxhash64("__key")) & (F.col(key) == F.col("__key")), how).drop("__key")
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_BYTES``, which the session keeps as its setting unless it has a smaller one.
+
+    Spark's own bound is 64 MB or 10,000 rows.  A batch of that size lies outside the heap of the executor, where its vectors double
+    as they grow, and again in the worker; neither gives all of it back.
+    """
+    spark = df.sparkSession
+    if spark._jconf.arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system (any store)."""
     jvm = spark._jvm

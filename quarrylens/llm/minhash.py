@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, split_join, staged, temporary
+from .common import map_batches, scratch_path, split_join, staged, temporary
 from .components import components
 
 BANDS, ROWS, B = 26, 5, 4
@@ -40,7 +40,7 @@ WIDTH = 5
 THRESHOLD = (85, 100)  # 100 * intersection >= 85 * union
 PART_SIZE = 256
 
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 18  # bytes of text hashed at once; a worker keeps 16 times as much in tables of powers
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -211,7 +211,7 @@ def _sketch(docs: DataFrame, bands: int, rows: int, b: int, width: int) -> DataF
                     names=["id", "text_hash", "n", "node", "keys", "sig"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, text_hash bigint, n bigint, node bigint, keys array<bigint>, sig binary")
+    return map_batches(docs, run, f"id {id_type}, text_hash bigint, n bigint, node bigint, keys array<bigint>, sig binary")
 
 
 def _with_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _with_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingles_of(w, width).tobytes() for w in word_hashes(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(sets, pa.binary())], names=[*keep, "shingles"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", shingles binary")
+    return map_batches(docs, run, ", ".join(f"{c} {types[c]}" for c in keep) + ", shingles binary")
 
 
 class _Forest:
@@ -374,7 +374,7 @@ def _passes(pairs: DataFrame, n_hashes: int, b: int, bound: float) -> DataFrame:
             near = estimate_rows(one, two, n_hashes, b) >= bound
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["node", "leader", "near"])
 
-    return pairs.mapInArrow(run, "node bigint, leader bigint, near boolean")
+    return map_batches(pairs, run, "node bigint, leader bigint, near boolean")
 
 
 def _nodes(group: pd.DataFrame, b: int) -> tuple[list[np.ndarray], np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import staged
+from .common import map_batches, staged
 
 CAPACITY = 1024
 FILL = 0.97
@@ -155,7 +155,7 @@ def pieces(
             arrays = [ids_in.take(pa.array(owners, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: len(names)], names=names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, staged
+from .common import map_batches, split_join, staged
 from .minhash import _SEGMENT, _SPACE, _power_tables, mix
 
 MIN_WORDS = 20
@@ -156,7 +156,7 @@ def chunk_digests(docs: DataFrame, mean_words: int = MEAN_WORDS, max_words: int
                 owner = np.repeat(np.arange(len(own)), [len(d) for d in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.empty(0, np.int64)), batch.column(0).take(pa.array(owner))], names=["digest", "id"])
 
-    return docs.mapInArrow(run, f"digest bigint, id {id_type}")
+    return map_batches(docs, run, f"digest bigint, id {id_type}")
 
 
 def deduplicate(
@@ -216,6 +216,6 @@ def deduplicate(
                 arrays += [pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(firsts, pa.list_(batch.column(names.index(id_at)).type))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_removed_words", "removed", "first_in"])
 
-    found = joined.mapInArrow(run, schema)
+    found = map_batches(joined, run, schema)
     extra = [x if x not in columns else f"dedup_{x}" for x in ("n_removed_words", "removed", "first_in")]
     return found.toDF(*columns, *extra)

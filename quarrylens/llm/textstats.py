@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+
 #: Measures in column order; all are long.
 MEASURES = (
     "n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
@@ -110,4 +112,4 @@ def with_stats(docs: DataFrame, text_col: str = "text", key_cols: tuple[str, ...
             columns = [batch.column(i) for i in range(n_keys)] + [pa.array(found[:, j]) for j in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays(columns, names=[*key_cols, *MEASURES])
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)

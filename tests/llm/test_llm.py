@@ -12,12 +12,13 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, components, hnsw, html_text, minhash, packing, pii, quality_model, quality_rules, queries, substrings, textstats, warc
-from quarrylens.llm.common import table
+from quarrylens.llm import bpe, common, components, hnsw, html_text, minhash, packing, pii, quality_model, quality_rules, queries, substrings, textstats, warc
+from quarrylens.llm.common import map_batches, table
 
 WORD_BPE, BYTE_BPE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -1052,3 +1053,40 @@ def test_pipeline_links_from_080(spark, sf_dir):
     docs = corpus_pipeline.quality(spark, table(spark, sf_dir, "documents"), sf_dir).unionByName(made)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == kept_from(rows, 80) != kept_from(rows, 85)
+
+
+def test_rows_pass_to_workers_in_small_batches(spark):
+    docs = frame(spark, ["word " * 200] * 8000).coalesce(1)  # 8 MB: one batch by Spark's own bounds
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    makers = (
+        lambda: map_batches(docs, sizes, "n long"),
+        lambda: textstats.with_stats(docs),
+        lambda: minhash._sketch(docs.select(docs["doc_id"].alias("id"), "text", F.xxhash64("text").alias("text_hash")), 26, 5, 4, 5),
+        lambda: minhash._with_sets(docs, 5),
+        lambda: substrings.chunk_digests(docs.select(docs["doc_id"].alias("id"), "text")),
+        lambda: packing.pieces(docs, BYTE_BPE),
+    )
+    try:
+        for make in makers:
+            spark.conf.unset(key)
+            made = make()
+            assert spark._jconf.arrowMaxBytesPerBatch() == common.BATCH_BYTES
+            if made.columns == ["n"]:
+                found = [r["n"] for r in made.collect()]
+                assert len(found) >= 8 and max(found) < 1.25 * common.BATCH_BYTES
+        spark.conf.set(key, 4096)  # a session's smaller bound stays
+        makers[0]()
+        assert spark._jconf.arrowMaxBytesPerBatch() == 4096
+    finally:
+        spark.conf.unset(key)
+
+
+def test_workers_keep_small_tables(monkeypatch):
+    monkeypatch.setattr(minhash, "_powers", [])
+    minhash.word_hashes(["some words"])
+    assert sum(t.nbytes for t in minhash._powers) <= 8 << 20
